@@ -6,16 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import simhash
+from quern.llm import decontam, simhash
 from quern.llm.frames import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, item_id, needles, edits) of each benchmark item that a document holds."""
+    return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, kept_id) of each document that a kept near copy stands for."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op5_simhash_near_dedup,)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_benchmark_decontamination, op5_simhash_near_dedup)}
 SQL: dict[str, str] = {}
