@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import decontam, simhash
+from quern.llm import decontam, packing, simhash
 from quern.llm.frames import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,5 +22,10 @@ def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_benchmark_decontamination, op5_simhash_near_dedup)}
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each sequence of 8192 byte tokens: its documents, their starts and lengths."""
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_benchmark_decontamination, op5_simhash_near_dedup, op7_best_fit_packing)}
 SQL: dict[str, str] = {}
