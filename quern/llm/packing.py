@@ -2,9 +2,8 @@
 
 Each partition packs its own documents by best-fit decreasing and closes the bins that are at least
 ``FULL`` of the capacity. The underfull bins go up a tree: ``FAN_IN`` partitions at a time pool them and
-pack them again as items of their load, best-fit decreasing. Rounds end when one partition is left, or when a
-round closes under ``PROGRESS`` of the bins it was given and so the rest can't be combined; then all bins
-close. Only ids and lengths move, never text; each round's bins are written to the shared folder.
+pack them again as items of their load, best-fit decreasing. Rounds end when one partition is left, or when
+fewer partitions would each have to pool over ``POOL_ROWS`` bins; then all bins close. Only ids and lengths move, never text; each round's bins are written to the shared folder.
 
 A token here is a byte of UTF-8, as in a byte-level model, and one more ends each document; any other
 integer column may be named as the length. A document longer than a bin is cut into whole bins and a rest.
@@ -29,7 +28,6 @@ from quern.session import settle
 CAPACITY = 8192
 FULL = 0.98
 FAN_IN = 8
-PROGRESS = 0.02
 #: Underfull bins that one partition of a later round may hold.
 POOL_ROWS = 250_000
 
@@ -116,9 +114,9 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length
         parts = 0 if last is None else max(-(-(last + 1) // fan_in), -(-rows // POOL_ROWS))
         closed = bins.where("closed").select(*names)
         done = closed if done is None else done.union(closed)
-        if not rows or (level and (last + 1 <= 1 or parts > last or rows > (1 - PROGRESS) * before)):
+        if not rows or (level and parts > last):
             break
-        before, level = rows, level + 1
+        level += 1
         step = (last + 1 + parts - 1) // parts
         pool = bins.where("NOT closed").repartitionById(parts, F.expr(f"cast(part div {step} as int)"))
         bins = settle(pool.select(*names).mapInArrow(merge(level), schema), "bins")
