@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quern.llm import decontam, packing, simhash
+from quern.llm import decontam, packing, quality, simhash
 from quern.llm.frames import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +18,13 @@ def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, score) of each document that the classifier accepts."""
+    docs = table(spark, sf_dir, "documents")
+    scored = quality.scores(docs.select("doc_id", "text"), quality.train(docs, table(spark, sf_dir, "labels")))
+    return scored.where(F.col("score") >= quality.THRESHOLD).select("doc_id", "score")
+
+
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, kept_id) of each document that a kept near copy stands for."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
@@ -27,5 +35,13 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_benchmark_decontamination, op5_simhash_near_dedup, op7_best_fit_packing)}
+QUERIES: dict[str, Query] = {
+    f.__name__: f
+    for f in (
+        op1_benchmark_decontamination,
+        op2_quality_classifier,
+        op5_simhash_near_dedup,
+        op7_best_fit_packing,
+    )
+}
 SQL: dict[str, str] = {}
