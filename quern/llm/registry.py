@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import decontam, packing, quality, simhash
+from quern.llm import decontam, packing, pii, quality, simhash
 from quern.llm.frames import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -35,6 +35,11 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, kind, start, end) of each personal identifier, however disguised."""
+    return pii.identifiers(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -42,6 +47,7 @@ QUERIES: dict[str, Query] = {
         op2_quality_classifier,
         op5_simhash_near_dedup,
         op7_best_fit_packing,
+        op9_pii,
     )
 }
 SQL: dict[str, str] = {}

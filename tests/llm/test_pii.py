@@ -1,0 +1,78 @@
+import random
+
+import pytest
+
+from quern.llm.pii import find, identifiers, luhn, mask, normalise, without_identifiers
+
+WORDS = "zero one two three four five six seven eight nine".split()
+
+
+@pytest.mark.parametrize(
+    ("text", "kind", "held"),
+    [
+        ("mail john.doe [at] example [dot] com now", "email", "john.doe [at] example [dot] com"),
+        ("jane dot roe at mail7 dot example dot org said", "email", "jane dot roe at mail7 dot example dot org"),
+        ("MAIL BOB (AT) SITE (DOT) NET!", "email", "BOB (AT) SITE (DOT) NET"),
+        ("see jоhn@exаmple.com there", "email", "jоhn@exаmple.com"),
+        ("so x@y.co​m it is", "email", "x@y.co​m"),
+        ("ａｂｃ＠ｄｅｆ．ｃｏｍ", "email", "ａｂｃ＠ｄｅｆ．ｃｏｍ"),
+        ("user{at}host.org.", "email", "user{at}host.org"),
+        ("joe @ example.com", "email", "joe @ example.com"),
+        ("hans arroba correo punto es ya", "email", "hans arroba correo punto es"),
+        ("call five five five one two three four five six seven, ok", "phone", "five five five one two three four five six seven"),
+        ("ruf null eins sieben zwei drei vier fünf sechs an", "phone", "null eins sieben zwei drei vier fünf sechs"),
+        ("at +1 (017) 555-7713 x", "phone", "+1 (017) 555-7713"),
+        ("card 4111 1111 1111 1111.", "card", "4111 1111 1111 1111"),
+        ("pay four one one one 1111 one one one one one one one one.", "card", "four one one one 1111 one one one one one one one one"),
+        ("no. 9807915762804490 raie", "account", "9807915762804490"),
+        ("ip 10.0.0.1.", "ip", "10.0.0.1"),
+        ("id 078-05-1120 ok", "ssn", "078-05-1120"),
+        ("to DE89 3704 0044 0532 0130 00 now", "iban", "DE89 3704 0044 0532 0130 00"),
+        ('in token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" ', "secret", 'token = "04dbebab91ab85687d33eeaaf9ac699e1188f962"'),
+    ],
+)
+def test_found_at_the_source_characters(text, kind, held):
+    got = find(text)
+    assert [(k, text[a:b]) for k, a, b in got] == [(kind, held)]
+    assert mask(text) == text.replace(held, f"<{kind.upper()}>")
+
+
+@pytest.mark.parametrize("text", ["un un un un un un un un un un", "at the dot com era", "on 2015-04-03, 12.5 of 1,234,567 people", "meet me at noon. dot it", "version 3.1.4 and 300.1.1.1", "Привет мир", "one two, buckle my shoe", "page 12 34 56", "DE12 3456 7890 1234 5678 90 fails"])
+def test_clean_text_is_left_alone(text):
+    assert find(text) == [] and mask(text) == text
+
+
+def test_random_disguises_round_trip():
+    rng = random.Random(4)
+    alike = str.maketrans("aeopcxy", "аеорсху")
+    for _ in range(300):
+        user, host = ("".join(rng.choices("abcdefgopxy", k=6)) for _ in range(2))
+        email = f"{user}@{host}.com"
+        at, dot = rng.choice([(" at ", " dot "), (" [at] ", " [dot] "), ("(at)", "(dot)"), ("@", "."), (" {AT} ", " {DOT} ")])
+        e = f"{user}{at}{host}{dot}com"
+        if rng.random() < 0.3 and at == "@":
+            e = e.translate(alike)
+        card = "4" + "".join(rng.choices("0123456789", k=14))
+        card += next(d for d in "0123456789" if luhn(card + d))
+        c = " ".join(WORDS[int(x)] for x in card) if rng.random() < 0.5 else card
+        text = f"Thé wörds hérè, {e} und ​so weiter: {c}; fin."
+        got = find(text)
+        assert [(k, text[a:b]) for k, a, b in got] == [("email", e), ("card", c)], text
+        t = normalise(text)
+        assert email.lower() in t.text and card in t.text
+
+
+def test_identity_where_nothing_is_disguised():
+    t = normalise("plain text with a@b.com and 12345")
+    assert t.start is None and t.source(3, 7) == (3, 7)
+
+
+def test_defined_cases(spark):
+    rows = [(1, None, "k", 1), (2, "", "k", 1), (None, "a@bc.de", "k", 1), (3, "a@bc.de", None, None), (3, "a@bc.de", None, None), (4, "word " * 50000 + "a@bc.de", "k", 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, kind string, start int")
+    got = sorted(map(tuple, identifiers(df).collect()), key=str)
+    assert got == sorted([(None, "email", 0, 7), (3, "email", 0, 7), (3, "email", 0, 7), (4, "email", 250000, 250007)], key=str)
+    assert identifiers(df.limit(0)).collect() == []
+    out = without_identifiers(df)
+    assert out.columns == df.columns
+    assert {(r.doc_id, (r.text or "-")[-7:]) for r in out.collect()} == {(1, "-"), (2, "-"), (None, "<EMAIL>"), (3, "<EMAIL>"), (4, "<EMAIL>")}
