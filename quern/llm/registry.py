@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import decontam, packing, pii, quality, simhash
+from quern.llm import decontam, packing, pii, quality, simhash, suffixes
 from quern.llm.frames import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +25,11 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.where(F.col("score") >= quality.THRESHOLD).select("doc_id", "score")
 
 
+def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, start, end) of each span of 50 words or more that another document has too."""
+    return suffixes.repeats(table(spark, sf_dir, "documents"))
+
+
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, kept_id) of each document that a kept near copy stands for."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
@@ -45,9 +50,22 @@ QUERIES: dict[str, Query] = {
     for f in (
         op1_benchmark_decontamination,
         op2_quality_classifier,
+        op4_suffix_array_dedup,
         op5_simhash_near_dedup,
         op7_best_fit_packing,
         op9_pii,
     )
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op4_suffix_array_dedup": r"""
+        WITH words AS (
+            SELECT doc_id, list_filter(string_split_regex(text, '[ \t\n\x0b\f\r]+'), lambda x: x <> '') AS w FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+        windows AS (
+            SELECT doc_id, unnest(range(0, len(w) - 49)) AS s, w FROM words WHERE len(w) >= 50),
+        hashed AS (SELECT doc_id, s, md5(array_to_string(w[s + 1 : s + 50], ' ')) AS h FROM windows),
+        dup AS (SELECT h FROM hashed GROUP BY h HAVING min(doc_id) < max(doc_id)),
+        hits AS (SELECT DISTINCT doc_id, s FROM hashed JOIN dup USING (h)),
+        marked AS (SELECT *, CASE WHEN s <= lag(s) OVER (PARTITION BY doc_id ORDER BY s) + 50 THEN 0 ELSE 1 END AS fresh FROM hits),
+        islands AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY s) AS island FROM marked)
+        SELECT doc_id, min(s) AS "start", max(s) + 50 AS "end" FROM islands GROUP BY doc_id, island""",
+}
