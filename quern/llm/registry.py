@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import decontam, packing, pii, quality, simhash, suffixes
+from quern.llm import decontam, packing, pii, quality, simhash, suffixes, toxicity
 from quern.llm.frames import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -45,6 +45,13 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.identifiers(table(spark, sf_dir, "documents"))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, score) of each document that the classifier takes for toxic."""
+    docs = table(spark, sf_dir, "documents")
+    scored = toxicity.scores(docs.select("doc_id", "text"), toxicity.train(docs, table(spark, sf_dir, "labels")))
+    return scored.where(F.col("score") >= toxicity.THRESHOLD).select("doc_id", "score")
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -54,6 +61,7 @@ QUERIES: dict[str, Query] = {
         op5_simhash_near_dedup,
         op7_best_fit_packing,
         op9_pii,
+        op10_toxicity,
     )
 }
 SQL: dict[str, str] = {

@@ -69,12 +69,17 @@ def slices(col: pa.Array, size: int = SLICE) -> Iterator[tuple[int, int, np.ndar
         i = j
 
 
-def words(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, end, row) of each run of bytes other than ASCII white space; a row ends its last word."""
+#: ASCII letters and the bytes of all other scripts.
+LETTER = np.zeros(256, bool)
+LETTER[65:91] = LETTER[97:123] = LETTER[128:] = True
+
+
+def words(buf: np.ndarray, off: np.ndarray, kind: np.ndarray = ~SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, row) of each run of bytes of a kind, such as other than ASCII white space; a row ends its last word."""
     if not len(buf):
         e = np.zeros(0, np.int64)
         return e, e, e
-    solid = ~SPACE[buf]
+    solid = kind[buf]
     edge = np.zeros(len(buf) + 1, bool)
     edge[off] = True
     before = np.empty_like(solid)
