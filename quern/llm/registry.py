@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import decontam, packing, pii, quality, simhash, suffixes, toxicity
+from quern.llm import ann, decontam, packing, pii, quality, simhash, suffixes, toxicity
 from quern.llm.frames import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -40,6 +40,11 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op8_inverted_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(vec_id, neighbour_id, distance, rank): the ten nearest others of every embedding."""
+    return ann.neighbours(table(spark, sf_dir, "embeddings"))
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, kind, start, end) of each personal identifier, however disguised."""
     return pii.identifiers(table(spark, sf_dir, "documents"))
@@ -60,6 +65,7 @@ QUERIES: dict[str, Query] = {
         op4_suffix_array_dedup,
         op5_simhash_near_dedup,
         op7_best_fit_packing,
+        op8_inverted_multi_index,
         op9_pii,
         op10_toxicity,
     )
