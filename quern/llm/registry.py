@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import ann, decontam, packing, pii, quality, simhash, suffixes, toxicity
+from quern.llm import ann, decontam, packing, pii, quality, quotes, simhash, suffixes, toxicity
 from quern.llm.frames import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +25,11 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.where(F.col("score") >= quality.THRESHOLD).select("doc_id", "score")
 
 
+def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(conv_id, n_messages, n_quotes, chat) of each conversation, in reply order and without quotes."""
+    return quotes.conversations(table(spark, sf_dir, "conversations"))
+
+
 def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, start, end) of each span of 50 words or more that another document has too."""
     return suffixes.repeats(table(spark, sf_dir, "documents"))
@@ -62,6 +67,7 @@ QUERIES: dict[str, Query] = {
     for f in (
         op1_benchmark_decontamination,
         op2_quality_classifier,
+        op3_chat_formatting,
         op4_suffix_array_dedup,
         op5_simhash_near_dedup,
         op7_best_fit_packing,
@@ -71,6 +77,7 @@ QUERIES: dict[str, Query] = {
     )
 }
 SQL: dict[str, str] = {
+    "op3_chat_formatting": quotes.SQL,
     "op4_suffix_array_dedup": r"""
         WITH words AS (
             SELECT doc_id, list_filter(string_split_regex(text, '[ \t\n\x0b\f\r]+'), lambda x: x <> '') AS w FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
