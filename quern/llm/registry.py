@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import ann, decontam, packing, pii, quality, quotes, simhash, suffixes, toxicity
+from quern.llm import ann, decontam, licenses, packing, pii, quality, quotes, simhash, suffixes, toxicity
 from quern.llm.frames import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -40,6 +40,11 @@ def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, path, license, score, origin, origin_path) of each document that has or inherits a licence."""
+    return licenses.scan(licenses.as_files(table(spark, sf_dir, "documents"))).withColumn("score", F.round("score", 6))
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row for each sequence of 8192 byte tokens: its documents, their starts and lengths."""
     return packing.pack(table(spark, sf_dir, "documents"))
@@ -70,6 +75,7 @@ QUERIES: dict[str, Query] = {
         op3_chat_formatting,
         op4_suffix_array_dedup,
         op5_simhash_near_dedup,
+        op6_license_scan,
         op7_best_fit_packing,
         op8_inverted_multi_index,
         op9_pii,
@@ -77,6 +83,7 @@ QUERIES: dict[str, Query] = {
     )
 }
 SQL: dict[str, str] = {
+    "op6_license_scan": licenses.SQL,
     "op3_chat_formatting": quotes.SQL,
     "op4_suffix_array_dedup": r"""
         WITH words AS (
