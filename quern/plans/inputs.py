@@ -19,7 +19,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 _FILES = r"""
 SELECT concat(subdir, '/', stem, '.md') AS path, doc_id, lang, source,
     concat(fm, text, '\n\nSee ', concat_ws(' ',
-        concat('[[', elt(cast((doc_id - doc_id % 10 + (doc_id + 1) % 10) % 5 + 1 AS int), 'concepts', 'connections', 'mechanisms', 'outcomes', 'references'), '/doc-', doc_id - doc_id % 10 + (doc_id + 1) % 10, ']]'),
+        CASE WHEN doc_id % 10 <> 4 THEN concat('[[', elt(cast((doc_id - doc_id % 10 + (doc_id + 1) % 10) % 5 + 1 AS int), 'concepts', 'connections', 'mechanisms', 'outcomes', 'references'), '/doc-', doc_id - doc_id % 10 + (doc_id + 1) % 10, ']]') END,
         CASE WHEN doc_id % 10 IN (1, 2, 3) THEN concat('[[', elt(cast((doc_id - 1) % 5 + 1 AS int), 'concepts', 'connections', 'mechanisms', 'outcomes', 'references'), '/doc-', doc_id - 1, ']]') END,
         CASE WHEN doc_id % 7 = 0 THEN concat('[[doc-', doc_id + 3, ']]') END,
         CASE WHEN doc_id % 11 = 0 THEN concat('[[concepts/missing-', doc_id, ']]') END,
@@ -33,7 +33,7 @@ FROM (SELECT *, doc_id % 12 AS r, concat('doc-', doc_id) AS stem,
             CASE WHEN doc_id % 12 <> 4 THEN 'type: concept' END,
             CASE WHEN doc_id % 12 NOT IN (2, 4) THEN concat('tags: [', lang, ', "', source, '", ]') END,
             CASE WHEN doc_id % 12 = 6 THEN concat('aliases: plain', doc_id) END,
-            CASE WHEN doc_id % 12 = 7 THEN concat('sources: ["daily/log-', doc_id % 150, '.md"]') WHEN doc_id % 12 NOT IN (3, 4) THEN concat('sources: [daily/log-', doc_id % 150, '.md]') END,
+            CASE WHEN doc_id % 12 = 7 THEN concat('sources: ["daily/log-', doc_id % 80, '.md"]') WHEN doc_id % 12 NOT IN (3, 4) THEN concat('sources: [daily/log-', doc_id % 80, '.md]') END,
             concat('updated: 2026-', lpad(cast(doc_id % 12 + 1 AS string), 2, '0'), '-', lpad(cast(doc_id % 28 + 1 AS string), 2, '0')),
             CASE WHEN doc_id % 12 = 9 THEN 'source_version: none' ELSE concat('source_version: ', 1 + doc_id % 5) END,
             CASE WHEN doc_id % 12 = 8 THEN 'summary: one --- two' END,
@@ -122,7 +122,7 @@ def project_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 PROJECTS_SQL = f"""
-SELECT project, rel_path, name, regexp_extract(name, '[^.](\\.[^.]+)$', 1) AS suffix, octet_length(content::BLOB) AS length, 1767225600 + page_id AS mtime, content FROM (
+SELECT project, rel_path, name, regexp_extract(name, '[^.](\\.[^.]+)$', 1) AS suffix, octet_length(encode(content)) AS length, 1767225600 + page_id AS mtime, content FROM (
     SELECT project, rel_path, content, page_id, split_part(rel_path, '/', -1) AS name FROM (
         SELECT regexp_extract(url, '^https?://([^/?#]+)', 1) AS project, concat_ws('/', nullif(regexp_extract(url, '^https?://[^/?#]+/([^?#]*)', 1), ''), 'page-' || page_id || '.html') AS rel_path, coalesce(html, '') AS content, page_id FROM pages WHERE page_id IS NOT NULL AND url IS NOT NULL
         UNION ALL SELECT project, unnest(({[_MARKS[k] for k in sorted(_MARKS)]!r})[page_id % 8 + 1]), 'about ' || project || chr(10) || 'a test pipeline and its storage', page_id

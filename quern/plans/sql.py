@@ -119,7 +119,7 @@ SELECT qid, rank, path, title, summary, round(score, 6) AS score, source_version
 def context(searched: str, most: int = K.CONTEXT_CHARS) -> str:
     return f"""
 SELECT qid, string_agg(part, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank) AS context FROM (
-    SELECT qid, rank, CASE WHEN rank = over_rank THEN substr(part, 1, {most} - before) || chr(10) || chr(10) || '...(truncated)' ELSE part END AS part, before, over_rank FROM (
+    SELECT qid, rank, CASE WHEN rank = over_rank THEN substr(part, 1, ({most} - before)::BIGINT) || chr(10) || chr(10) || '...(truncated)' ELSE part END AS part, before, over_rank FROM (
         SELECT *, total - length(part) AS before, min(CASE WHEN total > {most} THEN rank END) OVER (PARTITION BY qid) AS over_rank FROM (
             SELECT *, sum(length(part)) OVER (PARTITION BY qid ORDER BY rank) AS total FROM (
                 SELECT qid, rank, '## ' || replace(s.path, '.md', '') || CASE WHEN s.score > 0 THEN ' (relevance: ' || printf('%.2f', round(s.score, 2)) || ')' ELSE '' END || chr(10) || chr(10) || content AS part
