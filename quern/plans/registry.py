@@ -17,6 +17,8 @@ from quern.operators import index as X
 from quern.operators import ingest as I
 from quern.operators import projects as P
 from quern.operators import validation as V
+from quern.kb import RULES
+from quern.kb import rules as rules_table
 from quern.plans import inputs as N
 from quern.plans import sql as S
 
@@ -470,13 +472,19 @@ def scan_shortlist(b: Base) -> DataFrame:
     return _flat(b.scanned)
 
 
-@query(f"SELECT {_SCAN} FROM scanned WHERE domain = 'dev-tools' AND suggested_priority <= 3")
+@query(f"SELECT {_SCAN} FROM scanned WHERE domain = 'data-engineering' AND suggested_priority <= 3")
 def shortlist_filter(b: Base) -> DataFrame:
     """P13, P14."""
-    return _flat(P.shortlist(b.scanned, "dev-tools", 3))
+    return _flat(P.shortlist(b.scanned, "data-engineering", 3))
 
 
 @query(S.MODES)
 def mode_thresholds(b: Base) -> DataFrame:
     """P28 and the presets."""
     return G.modes(b.spark).withColumn("required_frontmatter", F.array_join("required_frontmatter", ",")).drop("purpose")
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}', '{c}')" for a, b, c in RULES) + ") v(section, name, value)")
+def rules(b: Base) -> DataFrame:
+    """The base's description of itself."""
+    return rules_table(b.spark)
