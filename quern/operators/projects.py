@@ -5,10 +5,17 @@ Input is one row a file: (project, rel_path, name, suffix, length, mtime, conten
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quern.functions.constants import DOMAINS, MARKERS, MATURITY, READMES, STACK, SUFFIXES
+try:
+    import ahocorasick
+except ImportError:  # the join does without it
+    ahocorasick = None
 
 ROOT = "instr(rel_path, '/') = 0"
 
@@ -81,12 +88,51 @@ def topics(arts: DataFrame) -> DataFrame:
     return one.where("topic IS NOT NULL").distinct()
 
 
+#: Characters of topics that one automaton may hold; more topics are joined instead.
+AUTOMATON_CHARS = 8_000_000
+
+
+def topic_hits(low: DataFrame, kb_topics: DataFrame) -> DataFrame:
+    """(project, topic) for each topic that a lower-cased text ``t`` holds, distinct.
+
+    One pass of an Aho-Corasick automaton over each text, whatever the number of topics; a nested-loop join where the topics
+    are too many to send, or the automaton's module isn't there.
+    """
+    chars = kb_topics.agg(F.coalesce(F.sum(F.length("topic") + 1), F.lit(0))).first()[0]
+    if ahocorasick is None or chars > AUTOMATON_CHARS:
+        hits = low.join(kb_topics.select("topic", F.lower("topic").alias("lt")), F.col("t").contains(F.col("lt")))
+        return hits.select("project", "topic").distinct()
+    words: dict[str, list[str]] = {}
+    for r in kb_topics.select("topic", F.lower("topic").alias("lt")).collect():
+        words.setdefault(r.lt, []).append(r.topic)
+    sent = low.sparkSession.sparkContext.broadcast(words)
+
+    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        machine = ahocorasick.Automaton()
+        for w, topics_of in sent.value.items():
+            if w:
+                machine.add_word(w, topics_of)
+        always = sent.value.get("", [])
+        machine.make_automaton()
+        for b in batches:
+            found = set()
+            for p, t in zip(b.column("project").to_pylist(), b.column("t").to_pylist()):
+                got = [*always]
+                if len(machine):
+                    for _, ts in machine.iter(t or ""):
+                        got += ts
+                found |= {(p, x) for x in got}
+            rows = sorted(found)
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.string()) for k in (0, 1)], ["project", "topic"])
+
+    return low.select("project", "t").mapInArrow(match, "project string, topic string").distinct()
+
+
 def overlaps(picked: DataFrame, kb_topics: DataFrame) -> DataFrame:
     """(project, topic_overlap): the share of topics that the project's first hundred files of at most 10,000 bytes hold."""
     n = kb_topics.agg(F.count("*").alias("n_topics"))
     low = picked.where("n <= 100").select("project", F.lower(read_safe(10_000)).alias("t"))
-    hits = low.join(kb_topics.select("topic", F.lower("topic").alias("lt")), F.col("t").contains(F.col("lt")))
-    held = hits.select("project", "topic").distinct().groupBy("project").agg(F.count("*").alias("hits"))
+    held = topic_hits(low, kb_topics).groupBy("project").agg(F.count("*").alias("hits"))
     every = picked.select("project").distinct().join(held, "project", "left").crossJoin(F.broadcast(n))
     return every.select("project", F.when(F.col("n_topics") > 0, F.round(F.coalesce("hits", F.lit(0)) / F.col("n_topics"), 2)).otherwise(0.0).alias("topic_overlap"))
 

@@ -21,6 +21,7 @@ from quern.kb import RULES
 from quern.kb import rules as rules_table
 from quern.plans import inputs as N
 from quern.plans import sql as S
+from quern.session import spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -33,7 +34,7 @@ class Base:
         self.spark, self.dir = spark, sf_dir
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+        return spread(self.spark.read.parquet(f"{self.dir}/{name}.parquet"))
 
     @cached_property
     def files(self) -> DataFrame:

@@ -60,3 +60,13 @@ def unsettle(df: DataFrame) -> None:
         path = spark._jvm.org.apache.hadoop.fs.Path(f).getParent()
         if "/quern/" in path.toString():
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over at least as many partitions as there are cores.
+
+    A table in a few small files would be read, and all that follows computed, by a few tasks. Larger tables have more
+    splits than that and stay as they are, so nothing is shuffled at scale.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

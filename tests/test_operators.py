@@ -162,3 +162,11 @@ def test_projects(spark):
     assert m.last_modified == "2026-01-01T00:00:00+00:00"
     assert [r.name for r in projects.shortlist(projects.scan(f, topics), min_priority=2).collect()] == ["ml"]
     assert projects.scan(f.limit(0), topics).count() == 0
+
+
+def test_topics_by_automaton_and_by_join_agree(spark, monkeypatch):
+    low = spark.createDataFrame([("p", "an llm in a shell"), ("p", "rust"), ("q", ""), ("q", None)], "project string, t string")
+    topics = spark.createDataFrame([("LLM",), ("llm",), ("hell",), ("s",), ("no",)], "topic string")
+    by_machine = {tuple(r) for r in projects.topic_hits(low, topics).collect()}
+    monkeypatch.setattr(projects, "AUTOMATON_CHARS", 0)
+    assert by_machine == {tuple(r) for r in projects.topic_hits(low, topics).collect()} == {("p", "LLM"), ("p", "llm"), ("p", "hell"), ("p", "s")}
