@@ -102,14 +102,44 @@ def _digits(m: re.Match) -> list[tuple[int, int, str]]:
     return out
 
 
+_WORDS = frozenset(_WORD_DIGIT)
+_DIGIT = re.compile(r"\d")
+
+
+def _strange(text: str) -> bool:
+    """Whether some character is to be folded. Latin-1 texts, told by a failing codec, need no search."""
+    if text.isascii():
+        return False
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return _STRANGE.search(text) is not None
+    return "\xa0" in text or "\xad" in text
+
+
+def _spelled(low: str, digits: bool) -> bool:
+    """Whether digits may be spelled. A run of three without a figure has a word between separators, so it is found among the
+    words that they part; the search that is exact runs on the rest only."""
+    if not digits and _WORDS.isdisjoint(low.replace("-", " ").replace(",", " ").replace(".", " ").split()):
+        return False
+    return _SPELLED_HINT.search(low) is not None
+
+
+def _address(low: str) -> bool:
+    """Whether an address may be disguised: all disguises have an @, a bracket, or a word for the dot."""
+    if not ("@" in low or "[" in low or "(" in low or "{" in low or "<" in low or "dot" in low or "punkt" in low or "punto" in low or "point" in low):
+        return False
+    return _ADDRESS_HINT.search(low) is not None
+
+
 def normalise(text: str) -> Tape:
     """The text after all transducers."""
     tape = Tape(text)
-    if not text.isascii() and _STRANGE.search(text):
+    if _strange(text):
         tape.rewrite([(m.start(), m.end(), _ALIKE.get(ord(m.group()), "")) for m in _STRANGE.finditer(text)])
-    if _SPELLED_HINT.search(tape.text):
+    if _spelled(tape.text.lower(), _DIGIT.search(tape.text) is not None):
         tape.rewrite([e for m in _SPELLED.finditer(tape.text) for e in _digits(m)])
-    if _ADDRESS_HINT.search(tape.text):
+    if _address(tape.text.lower()):
         for p, s in ((_BRACKET_AT, "@"), (_BRACKET_DOT, "."), (_PLAIN_AT, "@"), (_SPACED_AT, "@")):
             tape.rewrite([(m.start(), m.end(), s) for m in p.finditer(tape.text)])
         for p in (_PLAIN_DOT, _LOCAL_DOT):
@@ -156,7 +186,15 @@ DETECTORS: list[tuple[str, re.Pattern, Callable[[re.Match], bool] | None]] = [
     ("phone", re.compile(r"(?<![\w+.-])[2-9]\d{2}[2-9]\d{6}(?![\w-])"), lambda m: _varied(m.group())),
 ]
 _SPELLED_NUMBER = re.compile(r"(?<!\w)\+?\d(?:[ -]?\d){6,14}(?!\w)")
-_ANY = re.compile(r"[@\d]|-----BEGIN|(?i:token|password|passwd|secret|pwd|api[_-]?key|access[_-]?key)")
+_NAMED = ("-----begin", "token", "password", "passwd", "secret", "pwd", "apikey", "api_key", "api-key", "accesskey", "access_key", "access-key")
+
+
+def _any(text: str) -> bool:
+    """Whether anything may be found: all detectors need an @, a figure, or a secret's name."""
+    if "@" in text or _DIGIT.search(text):
+        return True
+    low = text.lower()
+    return any(n in low for n in _NAMED)
 
 
 def find(text: str | None) -> list[tuple[str, int, int]]:
@@ -165,7 +203,7 @@ def find(text: str | None) -> list[tuple[str, int, int]]:
         return []
     tape = normalise(text)
     t = tape.text
-    if not _ANY.search(t):
+    if not _any(t):
         return []
     taken: list[tuple[str, int, int]] = []
     for kind, p, ok in DETECTORS:
