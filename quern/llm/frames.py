@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.session import settle, unsettle
+from quern.session import settle, spread, unsettle
 
 #: Rows of an id table that may be broadcast (16 bytes each); beyond it the join shuffles.
 BROADCAST_ROWS = 2_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def cols(df: DataFrame, **named: str) -> DataFrame:
