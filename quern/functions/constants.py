@@ -1,14 +1,14 @@
 """Fixed tables of the engine: stop words, folders, modes, project indicators."""
 
 STOP_WORDS = (
-    "a about after all also am an and any are as at back be because been being but by can come could day did do does doing "
-    "even first for from get give go good had has have having he her him his how i if in into is it its just know like look "
-    "make me most my new no not now of on one only or other our out over people say see she so some take than that the their "
-    "them then there these they think this time to two up us use want was way we well were what when which who will with work "
-    "would year you your"
+    "a i be he me we if of am an in on do go no so to up or as is us at it by my had did and see she the one are use all him "
+    "can who two her for our has was his its get not but out you new how now day say way any good make take like time come "
+    "some were have give with back look work well will them from than been then when even also into year over your does this "
+    "that what want most just know they only could would there these being doing which think other after their first about "
+    "people having because "
 ).split()
 
-SUBDIRS = ["concepts", "connections", "mechanisms", "outcomes", "references"]
+SUBDIRS = "concepts connections mechanisms outcomes references".split()
 
 #: mode: (min_words, min_words_reject, min_fields, required, min_score, reject_score)
 MODES = {
@@ -36,27 +36,27 @@ KEY_POINTS = 5
 
 #: In the order that breaks ties.
 DOMAINS = {
-    "ai-ml": ["machine learning", "deep learning", "neural network", "transformer", "llm", "language model", "training", "inference", "ollama", "embedding", "rag", "fine-tuning", "prompt engineering", "agent", "rlhf"],
-    "neuroscience": ["brain", "neuron", "synapse", "dopamine", "prefrontal", "basal ganglia", "hippocampus", "amygdala", "cortex", "cognitive", "reward prediction", "action selection", "evidence accumulation"],
-    "knowledge-management": ["knowledge base", "wiki", "markdown", "frontmatter", "compilation", "ingest", "semantic search", "tf-idf", "indexing", "cross-reference"],
-    "dev-tools": ["mcp", "cli", "tool", "lint", "format", "ci", "test", "build", "package", "deploy", "hook", "plugin", "extension"],
-    "data-engineering": ["pipeline", "etl", "streaming", "batch", "database", "storage", "cache", "queue", "message bus", "event"],
-}
+    "ai-ml": "agent|deep learning|embedding|fine-tuning|inference|language model|llm|machine learning|neural network|ollama|prompt engineering|rag|rlhf|training|transformer".split("|"),
+    "neuroscience": "action selection|amygdala|basal ganglia|brain|cognitive|cortex|dopamine|evidence accumulation|hippocampus|neuron|prefrontal|reward prediction|synapse".split("|"),
+    "knowledge-management": "compilation|cross-reference|frontmatter|indexing|ingest|knowledge base|markdown|semantic search|tf-idf|wiki".split("|"),
+    "dev-tools": "build|ci|cli|deploy|extension|format|hook|lint|mcp|package|plugin|test|tool".split("|"),
+    "data-engineering": "batch|cache|database|etl|event|message bus|pipeline|queue|storage|streaming".split("|"),
+}
 MATURITY = {
-    "production": ["ci.yml", ".github/workflows", "docker-compose.yml", "Dockerfile", "CHANGELOG.md", "CONTRIBUTING.md", "SECURITY.md"],
-    "beta": ["tests/", "test_", "_test.py", "conftest.py", "pyproject.toml"],
-    "alpha": ["README.md", "setup.py", "requirements.txt"],
-    "prototype": [".ipynb", "scratch", "prototype", "experiment"],
+    "production": ".github/workflows|CHANGELOG.md|CONTRIBUTING.md|Dockerfile|SECURITY.md|ci.yml|docker-compose.yml".split("|"),
+    "beta": "_test.py|conftest.py|pyproject.toml|test_|tests/".split("|"),
+    "alpha": "README.md|requirements.txt|setup.py".split("|"),
+    "prototype": ".ipynb|experiment|prototype|scratch".split("|"),
 }
 STACK = {
-    "python": ["pyproject.toml", "setup.py", "requirements.txt", "Pipfile"],
-    "javascript": ["package.json"],
-    "typescript": ["tsconfig.json"],
-    "rust": ["Cargo.toml"],
-    "go": ["go.mod"],
-    "c/c++": ["Makefile", "CMakeLists.txt"],
-    "docker": ["Dockerfile", "docker-compose.yml"],
+    "python": "Pipfile|pyproject.toml|requirements.txt|setup.py".split("|"),
+    "javascript": "package.json".split("|"),
+    "typescript": "tsconfig.json".split("|"),
+    "rust": "Cargo.toml".split("|"),
+    "go": "go.mod".split("|"),
+    "c/c++": "CMakeLists.txt|Makefile".split("|"),
+    "docker": "Dockerfile|docker-compose.yml".split("|"),
 }
-MARKERS = ["pyproject.toml", "setup.py", "package.json", "Cargo.toml", "go.mod", "Makefile", "README.md", "requirements.txt"]
-SUFFIXES = ".py .md .txt .yaml .yml .toml .json .ipynb .rs .go .js .ts .html .css .cfg .ini .sh .bash .zsh .dockerfile".split()
-READMES = ["README.md", "README.txt", "README.rst", "README"]
+MARKERS = "Cargo.toml|Makefile|README.md|go.mod|package.json|pyproject.toml|requirements.txt|setup.py".split("|")
+SUFFIXES = ".bash .cfg .css .dockerfile .go .html .ini .ipynb .js .json .md .py .rs .sh .toml .ts .txt .yaml .yml .zsh".split()
+READMES = ["README" + end for end in (".md", ".txt", ".rst", "")]

@@ -14,7 +14,7 @@ from quern.functions.constants import STOP_WORDS
 WS = r"\t-\r\x1c-\x1f\x85\p{Z}"
 #: A line's end, as a text editor of Unicode text sees it.
 EOL = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\x{2028}\x{2029}]"
-LINK = r"\[\[([^\]]+)\]\]"
+LINK = r"\[{2}([^\]]+)\]{2}"
 
 
 def strip(c: Column) -> Column:

@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import json
-import os
 from dataclasses import dataclass, field
+from os import environ
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -35,7 +35,7 @@ class KnowledgeBase:
     _mode_file: str = field(default="", repr=False)
 
     def __post_init__(self) -> None:
-        self.root = os.environ.get("QUERN_KB_DIR", self.root)
+        self.root = environ.get("QUERN_KB_DIR", self.root)
         self._mode_file = self._mode_file or f"{self.work}/mode.json"
         if Path(self._mode_file).is_file():
             try:
@@ -51,8 +51,9 @@ class KnowledgeBase:
         if mode not in MODES:
             return False
         self.mode = mode
-        Path(self._mode_file).parent.mkdir(parents=True, exist_ok=True)
-        Path(self._mode_file).write_text(json.dumps({"mode": mode}))
+        f = Path(self._mode_file)
+        f.parent.mkdir(exist_ok=True, parents=True)
+        f.write_text(json.dumps({"mode": mode}))
         return True
 
     def get_mode(self) -> dict:
@@ -143,8 +144,8 @@ class KnowledgeBase:
             export.write_shortlist(found, output)
         return found.orderBy("rank")
 
-    def shortlist(self, path: str, domain: str | None = None, min_priority: int | None = None) -> DataFrame:
-        return projects.shortlist(export.read_shortlist(self.spark, path), domain, min_priority)
+    def shortlist(self, path: str, min_priority: int | None = None, domain: str | None = None) -> DataFrame:
+        return projects.shortlist(export.read_shortlist(self.spark, path), min_priority, domain)
 
 
 RULES = [

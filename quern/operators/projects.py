@@ -185,7 +185,7 @@ def scan(files: DataFrame, kb_topics: DataFrame, most: int = 50) -> DataFrame:
     return prioritised(out).withColumn("rank", F.row_number().over(Window.orderBy("suggested_priority", F.desc("domain_confidence"), "name")))
 
 
-def shortlist(scanned: DataFrame, domain: str | None = None, min_priority: int | None = None) -> DataFrame:
+def shortlist(scanned: DataFrame, min_priority: int | None = None, domain: str | None = None) -> DataFrame:
     if domain is not None:
         scanned = scanned.where(F.col("domain") == domain)
     if min_priority is not None:

@@ -39,7 +39,7 @@ def orphan_pages(links: DataFrame, arts: DataFrame) -> DataFrame:
 def source_refs(arts: DataFrame) -> DataFrame:
     """(log_name): what follows ``daily/`` up to a closing bracket in the sources lines of frontmatter."""
     lines = F.filter(F.transform(text.lines(F.coalesce("head", F.lit(""))), text.strip), lambda x: x.startswith("sources:"))
-    return arts.select(F.explode(lines).alias("line")).select(F.explode(F.regexp_extract_all("line", F.lit(r"daily/([^\]]+)\]"), F.lit(1))).alias("log_name")).distinct()
+    return arts.select(F.explode(lines).alias("line")).select(F.explode(F.regexp_extract_all("line", F.lit(r"daily/([^\x5D]+)\x5D"), F.lit(1))).alias("log_name")).distinct()
 
 
 def orphan_sources(logs: DataFrame, arts: DataFrame) -> DataFrame:

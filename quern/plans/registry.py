@@ -476,7 +476,7 @@ def scan_shortlist(b: Base) -> DataFrame:
 @query(f"SELECT {_SCAN} FROM scanned WHERE domain = 'data-engineering' AND suggested_priority <= 3")
 def shortlist_filter(b: Base) -> DataFrame:
     """P13, P14."""
-    return _flat(P.shortlist(b.scanned, "data-engineering", 3))
+    return _flat(P.shortlist(b.scanned, 3, "data-engineering"))
 
 
 @query(S.MODES)

@@ -164,14 +164,14 @@ CTES = {
     "lists": f"SELECT path, {typed('tags')} AS typed_tags, {gate_list('tags')} AS gate_tags, {gate_list('sources')} AS gate_sources FROM arts",
     "rec0": f"SELECT path, coalesce(title, stem) AS title, coalesce(summary, '') AS summary, coalesce({typed('tags')}, []) AS tags, coalesce({typed('aliases')}, []) AS aliases, coalesce({typed('sources')}, []) AS sources, coalesce(updated, '') AS updated, coalesce(TRY_CAST(coalesce(source_version, '1') AS INT), 1) AS source_version, content FROM arts",
     "records": "SELECT *, concat_ws(' ', title, CASE WHEN len(tags) > 0 THEN array_to_string(tags, ' ') END, CASE WHEN len(aliases) > 0 THEN array_to_string(aliases, ' ') END, CASE WHEN len(sources) > 0 THEN array_to_string(sources, ' ') END, content) AS searchable FROM rec0",
-    "links": r"SELECT path, replace(path, '.md', '') AS src_link, unnest(regexp_extract_all(content, '\[\[([^\]]+)\]\]', 1)) AS link, generate_subscripts(regexp_extract_all(content, '\[\[([^\]]+)\]\]', 1), 1) - 1 AS pos FROM arts",
+    "links": r"SELECT path, replace(path, '.md', '') AS src_link, unnest(regexp_extract_all(content, '\[{2}([^\]]+)\]{2}', 1)) AS link, generate_subscripts(regexp_extract_all(content, '\[{2}([^\]]+)\]{2}', 1), 1) - 1 AS pos FROM arts",
     "toks": f"SELECT path, {tokens('searchable')} AS ts FROM records",
     "terms": "SELECT path, len(ts) AS total, unnest(ts) AS term FROM toks",
     "tf": "SELECT path, term, count(*) AS n, any_value(total) AS total, count(*) / any_value(total) AS tf FROM terms GROUP BY path, term",
     "idf": "SELECT term, count(*) AS df, ln((SELECT count(*) FROM records) / count(*)) AS idf FROM tf GROUP BY term",
     "post": "SELECT path, term, tf * idf AS w FROM tf JOIN idf USING (term)",
     "norms": "SELECT path, sqrt(sum(w * w)) AS norm FROM post GROUP BY path",
-    "scored": rf"SELECT *, {words('body')} AS words, round(((coalesce(title, '') <> '')::INT + (len({gate_list('tags')}) > 0)::INT + (len({gate_list('sources')}) > 0)::INT + ({words('body')} >= 100)::INT + regexp_matches(body, '\[\[([^\]]+)\]\]')::INT) * 0.2::DOUBLE, 1) AS score FROM arts",
+    "scored": rf"SELECT *, {words('body')} AS words, round(((coalesce(title, '') <> '')::INT + (len({gate_list('tags')}) > 0)::INT + (len({gate_list('sources')}) > 0)::INT + ({words('body')} >= 100)::INT + regexp_matches(body, '\[{{2}}([^\]]+)\]{{2}}')::INT) * 0.2::DOUBLE, 1) AS score FROM arts",
     "gated": f"SELECT *, {gate_columns('developer')} FROM scored",
     "state": N.STATE_SQL,
     "acted": _actions(False),
@@ -189,7 +189,7 @@ CTES = {
     "up0": "SELECT *, substr(sha256(content), 1, 16) AS hash, coalesce(lag(substr(sha256(content), 1, 16)) OVER (PARTITION BY path ORDER BY log_name, pos), there) AS before, row_number() OVER (PARTITION BY path ORDER BY log_name DESC, pos DESC) = 1 AS final FROM rendered LEFT JOIN there USING (path)",
     "upserts": "SELECT *, CASE WHEN before IS NULL THEN 'create' WHEN before = hash THEN 'skip' ELSE 'update' END AS action FROM up0",
     "named_arts": "SELECT *, replace(path, '.md', '') AS src_link FROM arts",
-    "refs": rf"SELECT DISTINCT unnest(regexp_extract_all(l, 'daily/([^\]]+)\]', 1)) AS log_name FROM (SELECT unnest(list_filter(list_transform({lines('head')}, lambda x: {strip('x')}), lambda x: starts_with(x, 'sources:'))) AS l FROM arts WHERE head IS NOT NULL)",
+    "refs": rf"SELECT DISTINCT unnest(regexp_extract_all(l, 'daily/([^\x5D]+)\x5D', 1)) AS log_name FROM (SELECT unnest(list_filter(list_transform({lines('head')}, lambda x: {strip('x')}), lambda x: starts_with(x, 'sources:'))) AS l FROM arts WHERE head IS NOT NULL)",
     "issues": _ISSUES,
     "topics": f"SELECT DISTINCT topic FROM (SELECT title AS topic FROM arts UNION ALL SELECT unnest(CASE WHEN tags LIKE '[%' THEN {typed('tags')} END) FROM arts) WHERE topic IS NOT NULL",
     "pfiles": N.PROJECTS_SQL,
