@@ -27,7 +27,7 @@ from pyspark.sql.types import StringType
 
 from quern.llm.frames import cols
 
-# ---- transducers -------------------------------------------------------------------------------
+# transducers
 
 _CYRILLIC = "асԁеԍһіјкӏморԛгѕтхуАВСЕНІЈКМОРЅТХУЗ"
 _CYR_TO = "acdeghijklmopqrstxyABCEHIJKMOPSTXY3"
@@ -148,7 +148,7 @@ def normalise(text: str) -> Tape:
     return tape
 
 
-# ---- detectors ---------------------------------------------------------------------------------
+# detectors
 
 
 def luhn(d: str) -> bool:
