@@ -31,7 +31,7 @@ SAMPLE = 4000
 THRESHOLD = 0.4
 LEAST = 5
 BITS = 18
-PREFIXES = (5, 6, 7, 8)
+PREFIXES = (3, 4, 5, 6, 7)
 EPOCHS = 100
 DECAY = 3e-4
 COUNTERFACTUAL = 10.0
