@@ -32,8 +32,8 @@ def word_count(c: Column) -> Column:
 
 def tokens(c: Column) -> Column:
     """Lower-cased whole words of two or more ASCII letters, but for stop words."""
-    runs = F.regexp_extract_all(F.lower(c), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
-    return F.filter(runs, lambda x: x.rlike("^[a-z]{2,}$") & ~x.isin(STOP_WORDS))
+    found = F.regexp_extract_all(F.lower(c), F.lit(r"(?<![\p{L}\p{N}_])[a-z]{2,}+(?![\p{L}\p{N}_])"), F.lit(0))
+    return F.filter(found, lambda x: ~x.isin(STOP_WORDS))
 
 
 def content_hash(c: Column) -> Column:

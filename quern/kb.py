@@ -90,7 +90,7 @@ class KnowledgeBase:
         state.write(ingest.next_state(acts, self.run_ts), f"{self.work}/ingest_state")
         return acts.drop("prev")
 
-    def compile(self, all_logs: bool = False, file: str | None = None, dry_run: bool = False) -> DataFrame:
+    def compile(self, file: str | None = None, dry_run: bool = False, all_logs: bool = False) -> DataFrame:
         """One row for each section that was compiled (or each log that would be); writes articles, contents and state."""
         every = files.logs(self.spark, self.logs).where("valid")
         todo = compiling.pending(every, self._compiled(), all_logs, file)
