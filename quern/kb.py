@@ -94,6 +94,8 @@ class KnowledgeBase:
         """One row for each section that was compiled (or each log that would be); writes articles, contents and state."""
         every = files.logs(self.spark, self.logs).where("valid")
         todo = compiling.pending(every, self._compiled(), all_logs, file)
+        if file is not None and todo.isEmpty():
+            return self.spark.createDataFrame([(file, "error", "no such log")], "log_name string, action string, title string")
         if dry_run:
             return todo.select("log_name", F.lit("would_compile").alias("action"))
         date = self.run_ts[:10]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import cached_property
 
@@ -21,7 +22,8 @@ from quern.kb import RULES
 from quern.kb import rules as rules_table
 from quern.plans import inputs as N
 from quern.plans import sql as S
-from quern.session import spread
+from quern.session import shared_dir, spread
+from quern.sources import export, state
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -489,3 +491,29 @@ def mode_thresholds(b: Base) -> DataFrame:
 def rules(b: Base) -> DataFrame:
     """The base's description of itself."""
     return rules_table(b.spark)
+
+
+# ---- state and files ----
+
+
+@query(S.NEXT_STATE)
+def snapshot_roundtrip(b: Base) -> DataFrame:
+    """The next snapshot written as a version, pointed to, and read again."""
+    root = f"{shared_dir(b.spark)}/quern/{b.spark.sparkContext.applicationId}/snapshot-{uuid.uuid4().hex}"
+    state.write(I.next_state(b.actions, N.RUN_TS), root)
+    got = state.read(b.spark, root, I.STATE)
+    return got.select("path", "title", "hash", "mtime", "score", "ingested_at", "source_version", F.array_join("quality_warnings", "; ").alias("warnings"))
+
+
+@query(f"SELECT {_SCAN} FROM scanned")
+def shortlist_roundtrip(b: Base) -> DataFrame:
+    """The shortlist written as JSON and read again."""
+    path = f"{shared_dir(b.spark)}/quern/{b.spark.sparkContext.applicationId}/shortlist-{uuid.uuid4().hex}"
+    export.write_shortlist(b.scanned, path)
+    return _flat(export.read_shortlist(b.spark, path))
+
+
+@query("SELECT log_name FROM logs WHERE log_name = 'log-1.md'")
+def compile_named_log(b: Base) -> DataFrame:
+    """One log by name, compiled whatever its state."""
+    return C.pending(b.logs, b.compile_state, file="log-1.md").select("log_name")

@@ -21,6 +21,8 @@ def kb(spark, tmp_path):
 def test_compile_ingest_query_validate_status(kb, tmp_path):
     assert [r.action for r in kb.compile(dry_run=True).collect()] == ["would_compile"]
     assert {(r.slug, r.action) for r in kb.compile().collect()} == {("seeds", "create"), ("mechanism-of-growth", "create")}
+    assert [(r.log_name, r.action) for r in kb.compile(file="none.md").collect()] == [("none.md", "error")]
+    assert {r.action for r in kb.compile(file="d1.md").collect()} == {"skip"}
     assert kb.compile().count() == 0 and (tmp_path / "kb/concepts/seeds.md").is_file()
     assert {r.action for r in kb.ingest(dry_run=True).collect()} == {"would_ingest"}
     assert {r.action for r in kb.ingest().collect()} == {"insert"} and {r.action for r in kb.ingest().collect()} == {"skip"}
