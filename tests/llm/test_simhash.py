@@ -84,3 +84,24 @@ def test_sketch_ignores_slicing(monkeypatch):
     monkeypatch.setattr(simhash.vec.slices, "__defaults__", (700,))
     b = simhash.sketch(texts)
     assert all(np.array_equal(x, y) for x, y in zip(a, b))
+
+
+def test_lone_pairs_at_the_threshold_are_found_in_crowded_buckets(spark):
+    # all fingerprints share 28 coordinates; buckets of 6 bits hold far more than 8
+    rng = np.random.default_rng(5)
+    n, planted = 12000, 400
+    hi, lo = rng.integers(0, 1 << 36, n, dtype=np.uint64), rng.integers(0, 1 << 64, n, dtype=np.uint64, endpoint=False)
+    want = set()
+    for i in range(planted):  # groups of two at exactly the threshold
+        mask_hi = mask_lo = 0
+        for c in rng.choice(128, simhash.DISTANCE, replace=False).tolist():
+            if c < 64:
+                mask_lo |= 1 << c
+            else:
+                mask_hi |= 1 << (c - 64)
+        lo[n - 1 - i], hi[n - 1 - i] = int(lo[i]) ^ mask_lo, int(hi[i]) ^ mask_hi
+        want.add((i, n - 1 - i))
+    frame = spark.createDataFrame([(i, int(h), int(v)) for i, (h, v) in enumerate(zip(hi.view(np.int64), lo.view(np.int64)))], "id long, hi long, lo long").repartition(4)
+    for bits, most in ((6, 8), (simhash.BITS, simhash.BUCKET)):
+        found = {tuple(r) for r in simhash.near_edges(frame, bits=bits, most=most).collect()}
+        assert len(found & want) >= 0.9 * planted, (bits, len(found & want))
