@@ -48,7 +48,9 @@ _DIGITS = {
 _WORD_DIGIT = {w: d for d, ws in _DIGITS.items() for w in ws.split()}
 _W = "(?:" + "|".join(sorted(_WORD_DIGIT, key=len, reverse=True)) + ")"
 _SPELLED = re.compile(rf"(?i)(?<!\w)(?:{_W}|\d)(?:[ \t\n,.-]{{0,3}}(?:dash[ ,]+|(?<=[\W\d]))(?:{_W}(?!\w)|\d)){{2,}}(?!\w)")
-_SPELLED_HINT = re.compile(rf"(?i)(?<!\w){_W}[ \t\n,.-]{{1,3}}(?:dash[ ,]+)?(?:{_W}(?!\w)|\d)")
+_NEXT = r"[ \t\n,.-]{0,3}(?:dash[ ,]+|(?<=[\W\d]))"
+#: Any run of _SPELLED with a word has a word beside a word or a figure.
+_SPELLED_HINT = re.compile(rf"(?i)(?<![^\W\d]){_W}{_NEXT}(?:{_W}(?!\w)|\d)|\d{_NEXT}{_W}(?!\w)")
 _ONE = re.compile(rf"(?i)(?<!\w){_W}(?!\w)|[ \t\n]*(?<!\w)dash(?!\w)[ \t\n]*|(?<=[^\W\d])\s+|\s+(?=[^\W\d])")
 
 _AT, _DOT = "(?:at|arroba|ät)", "(?:dot|punkt|punto|point)"
@@ -69,6 +71,7 @@ class Tape:
         self.text = text
         self.start: np.ndarray | None = None
         self.end: np.ndarray | None = None
+        self.spelled = False
 
     def rewrite(self, edits: list[tuple[int, int, str]]) -> bool:
         """Replaces text[a:b] by s for each (a, b, s), in order and apart."""
@@ -91,12 +94,18 @@ class Tape:
         return (a, b) if self.start is None else (int(self.start[a]), int(self.end[b - 1]))
 
 
+def _lower(text: str) -> str:
+    """Lower case, with the two letters that only (?i) takes for an s and an i."""
+    low = text.lower()
+    return low if low.isascii() else low.replace("ſ", "s").replace("ı", "i")
+
+
 def _digits(m: re.Match) -> list[tuple[int, int, str]]:
     run, out = m.group(), []
     if not _SPELLED_HINT.search(run) and not re.search(_W, run, re.I):
         return []
     for x in _ONE.finditer(run):
-        w = x.group().strip().lower()
+        w = _lower(x.group().strip())
         a, b = m.start() + x.start(), m.start() + x.end()
         out.append((a, b, "-" if w == "dash" else _WORD_DIGIT.get(w, "")))
     return out
@@ -132,13 +141,13 @@ def _address(low: str) -> bool:
     return _ADDRESS_HINT.search(low) is not None
 
 
-def normalise(text: str) -> Tape:
-    """The text after all transducers."""
+def normalise(text: str, spelled: bool = True) -> Tape:
+    """The text after all transducers, or all but that of spelled digits."""
     tape = Tape(text)
     if _strange(text):
         tape.rewrite([(m.start(), m.end(), _ALIKE.get(ord(m.group()), "")) for m in _STRANGE.finditer(text)])
-    if _spelled(tape.text.lower(), _DIGIT.search(tape.text) is not None):
-        tape.rewrite([e for m in _SPELLED.finditer(tape.text) for e in _digits(m)])
+    if spelled and _spelled(_lower(tape.text), _DIGIT.search(tape.text) is not None):
+        tape.spelled = tape.rewrite([e for m in _SPELLED.finditer(tape.text) for e in _digits(m)])
     if _address(tape.text.lower()):
         for p, s in ((_BRACKET_AT, "@"), (_BRACKET_DOT, "."), (_PLAIN_AT, "@"), (_SPACED_AT, "@")):
             tape.rewrite([(m.start(), m.end(), s) for m in p.finditer(tape.text)])
@@ -186,14 +195,16 @@ DETECTORS: list[tuple[str, re.Pattern, Callable[[re.Match], bool] | None]] = [
     ("phone", re.compile(r"(?<![\w+.-])[2-9]\d{2}[2-9]\d{6}(?![\w-])"), lambda m: _varied(m.group())),
 ]
 _SPELLED_NUMBER = re.compile(r"(?<!\w)\+?\d(?:[ -]?\d){6,14}(?!\w)")
+#: How the keys of the third detector begin; they need no figure.
+_KEYS = ("AKIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "sk-", "xoxa-", "xoxb-", "xoxp-", "xoxr-", "xoxs-", "eyJ")
 _NAMED = ("-----begin", "token", "password", "passwd", "secret", "pwd", "apikey", "api_key", "api-key", "accesskey", "access_key", "access-key")
 
 
 def _any(text: str) -> bool:
-    """Whether anything may be found: all detectors need an @, a figure, or a secret's name."""
-    if "@" in text or _DIGIT.search(text):
+    """Whether anything may be found: all detectors need an @, a figure, a secret's name or a key's beginning."""
+    if "@" in text or _DIGIT.search(text) or any(k in text for k in _KEYS):
         return True
-    low = text.lower()
+    low = _lower(text)
     return any(n in low for n in _NAMED)
 
 
@@ -202,6 +213,13 @@ def find(text: str | None) -> list[tuple[str, int, int]]:
     if not text:
         return []
     tape = normalise(text)
+    got = _detected(tape)
+    if tape.spelled:  # a number followed by a word such as "one" is a number still
+        got += [(k, a, b) for k, a, b in _detected(normalise(text, spelled=False)) if all(b <= x or a >= y for _, x, y in got)]
+    return sorted(got, key=lambda x: x[1])
+
+
+def _detected(tape: Tape) -> list[tuple[str, int, int]]:
     t = tape.text
     if not _any(t):
         return []
