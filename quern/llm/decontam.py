@@ -1,12 +1,12 @@
 """Benchmark decontamination by q-gram lemma filtering.
 
-Texts are compared as runs of lower-cased letters and digits with one space between. Each benchmark
-item is cut into needles of ``NEEDLE`` characters (the last one ends with the item; a shorter item is
-one needle). A needle of m characters that occurs with at most k = m * ERRORS edits shares at least
-m - q + 1 - k*q of its q-grams with the document within k + 1 neighbouring diagonals (document position
-less needle position). So shared q-grams are counted in overlapping bands of 2(k+1) diagonals, each
-band one half further than the last; bands that reach the bound are verified by a banded
-alignment. The filter loses no occurrence. A document leaks an item if any needle of it verifies.
+Texts are compared as runs of lower-cased letters and digits with one space between. The needles of a benchmark
+item are all its runs of ``NEEDLE`` characters (a shorter item is one needle). A needle of m characters that
+occurs with at most k = m * ERRORS edits shares at least m - q + 1 - k*q of its q-grams with the document within
+k + 1 neighbouring diagonals (document position less item position). So the q-grams that a document shares
+with an item are put in overlapping bands of 2(k+1) diagonals, each band one half further than the last; the needles
+that hold as many of a band's q-grams as the bound says are verified by a banded alignment. The filter loses no
+occurrence. A document leaks an item if any needle of it verifies, as does any verbatim run of ``NEEDLE`` characters.
 
 The index of the q-grams is sent to the executors, at most ``INDEX_CHARS`` of benchmark text at a time; a
 larger benchmark takes several passes over the documents.
@@ -76,7 +76,7 @@ def grams(values: np.ndarray, q: int) -> np.ndarray:
 
 
 class Index:
-    """The q-grams of all needles, sorted, with a bitmap before them."""
+    """The q-grams of all items, sorted, with a bitmap before them. Needles are numbered through all items."""
 
     def __init__(self, items: list[tuple[int, str]], q: int = Q, needle: int = NEEDLE, errors: float = ERRORS) -> None:
         self.q = q
@@ -84,36 +84,33 @@ class Index:
         for i, t in sorted(items):
             v, _ = normal(*vec.codepoints(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())])))
             v = v[:-1] if len(v) and v[-1] == 32 else v
-            starts = [*range(0, len(v) - needle + 1, needle)] or [0]
-            if starts[-1] + needle < len(v):
-                starts.append(len(v) - needle)
-            for s in starts if len(v) >= q else []:
+            if len(v) >= q:
                 item.append(i)
-                text.append(v[s : s + needle])
+                text.append(v)
         self.item = np.array(item, np.int64)
-        self.size = np.array([len(x) for x in text], np.int64)
+        self.length = np.array([len(x) for x in text], np.int64)
+        self.size = np.minimum(self.length, needle)
+        self.first = np.cumsum(self.length) - self.length
         # beyond this many edits the bound would fall under one shared q-gram
         self.edits = np.array([min(int(m * errors), (m - q) // q) for m in self.size], np.int64)
         self.least = self.size - q + 1 - self.edits * q
-        self.text = np.zeros((len(text), max([*self.size, 0])), np.uint32)
-        for n, v in enumerate(text):
-            self.text[n, : len(v)] = v
+        self.text = np.concatenate([*text, np.zeros(needle, np.uint32)])
         h = [grams(v, q) for v in text]
         sizes = [len(x) for x in h]
         all_h = np.concatenate(h) if h else np.zeros(0, np.uint64)
         order = np.argsort(all_h, kind="stable")
         self.hash = all_h[order]
-        self.needle = np.repeat(np.arange(len(text)), sizes)[order]
+        self.own = np.repeat(np.arange(len(text)), sizes)[order]
         self.pos = (np.concatenate([np.arange(n) for n in sizes]) if sizes else np.zeros(0, np.int64))[order]
         self.shift = np.uint64(64 - max(16, math.ceil(math.log2(64 * len(all_h) + 1))))
         self.bitmap = np.zeros(1 << (64 - int(self.shift)), bool)
         self.bitmap[self.hash >> self.shift] = True
 
     def matches(self, values: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(row, needle, edits) of each verified band; values and off from :func:`normal`."""
+        """(row, entry of ``item``, needle, edits) of each verified needle and band; values and off from :func:`normal`."""
         none = np.zeros(0, np.int64)
         if not len(self.item) or len(values) < self.q:
-            return none, none, none
+            return none, none, none, none
         h = grams(values, self.q)
         at = np.flatnonzero(self.bitmap[h >> self.shift])
         lo = np.searchsorted(self.hash, h[at], "left")
@@ -122,48 +119,57 @@ class Index:
         n[at + self.q > off[row + 1]] = 0
         at, row, lo, n = (x[n > 0] for x in (at, row, lo, n))
         if not len(at):
-            return none, none, none
+            return none, none, none, none
         where = np.repeat(lo - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
-        nd, pos = self.needle[where], self.pos[where]
+        it, pos = self.own[where], self.pos[where]
         at, row = np.repeat(at, n), np.repeat(row, n)
-        step = self.edits[nd] + 1
-        band = (at - pos) // step
-        row, nd, pos, band = np.r_[row, row], np.r_[nd, nd], np.r_[pos, pos], np.r_[band, band - 1]
-        order = np.lexsort((pos, band, nd, row))
-        row, nd, pos, band = row[order], nd[order], pos[order], band[order]
-        new_band = np.r_[True, (row[1:] != row[:-1]) | (nd[1:] != nd[:-1]) | (band[1:] != band[:-1])]
+        band = (at - pos) // (self.edits[it] + 1)
+        row, it, pos, band = np.r_[row, row], np.r_[it, it], np.r_[pos, pos], np.r_[band, band - 1]
+        order = np.lexsort((pos, band, it, row))
+        row, it, pos, band = row[order], it[order], pos[order], band[order]
+        new_band = np.r_[True, (row[1:] != row[:-1]) | (it[1:] != it[:-1]) | (band[1:] != band[:-1])]
         distinct = new_band | np.r_[True, pos[1:] != pos[:-1]]
-        first = np.flatnonzero(new_band)
-        count = np.add.reduceat(distinct.astype(np.int64), first)
-        keep = first[count >= self.least[nd[first]]]
-        row, nd, band = row[keep], nd[keep], band[keep]
-        edits = np.concatenate([self.align(values, off, row[i : i + 4096], nd[i : i + 4096], band[i : i + 4096]) for i in range(0, len(row), 4096)]) if len(row) else none
-        ok = edits <= self.edits[nd]
-        return row[ok], nd[ok], edits[ok]
-
-    def align(self, values: np.ndarray, off: np.ndarray, row: np.ndarray, nd: np.ndarray, band: np.ndarray) -> np.ndarray:
-        """Fewest edits between needle and any run of the row that starts in the band, all candidates at once."""
-        k = self.edits[nd]
+        row, it, pos, band, group = row[distinct], it[distinct], pos[distinct], band[distinct], np.cumsum(new_band)[distinct]
+        # from each q-gram on, the needles that hold it and enough of those that follow
+        last = np.arange(len(pos)) + self.least[it] - 1
+        end = np.minimum(last, len(pos) - 1)
+        span = self.size[it] - self.q
+        near = np.flatnonzero((last < len(pos)) & (group[end] == group) & (pos[end] - pos <= span))
+        lo, hi, group = np.maximum(pos[end] - span, 0)[near], np.minimum(pos, self.length[it] - self.size[it])[near], group[near]
+        # both ends rise within a band
+        again = np.r_[False, group[1:] == group[:-1]]
+        lo = np.where(again, np.maximum(lo, np.r_[0, hi[:-1] + 1]), lo)
+        n = np.maximum(hi - lo + 1, 0)
+        row, it, band = (np.repeat(x[near], n) for x in (row, it, band))
+        start = np.repeat(lo - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum()) if len(n) else none
+        edits = np.concatenate([self.align(values, off, row[i : i + 4096], it[i : i + 4096], start[i : i + 4096], band[i : i + 4096]) for i in range(0, len(row), 4096)]) if len(row) else none
+        ok = edits <= self.edits[it]
+        return row[ok], it[ok], (self.first[it] + start)[ok], edits[ok]
+
+    def align(self, values: np.ndarray, off: np.ndarray, row: np.ndarray, it: np.ndarray, start: np.ndarray, band: np.ndarray) -> np.ndarray:
+        """Fewest edits between the needle at an item's start and any run of the row that starts in the band, all candidates at once."""
+        k = self.edits[it]
         step = k + 1
         width = int((2 * step + 2 * k).max())
-        base = band * step - k
+        base = band * step - k + start
+        needle = self.first[it] + start
         col = np.arange(width)
-        d = np.zeros((len(nd), width), np.int32)
-        best = np.full(len(nd), 1 << 20)
-        for i in range(int(self.size[nd].max())):
+        d = np.zeros((len(it), width), np.int32)
+        best = np.full(len(it), 1 << 20)
+        for i in range(int(self.size[it].max())):
             j = base[:, None] + i + col
             inside = (j >= off[row][:, None]) & (j < off[row + 1][:, None])
             c = np.where(inside, values[np.clip(j, 0, len(values) - 1)], 0)
-            new = d + (c != self.text[nd, i][:, None])
+            new = d + (c != self.text[np.minimum(needle + i, len(self.text) - 1)][:, None])
             new[:, :-1] = np.minimum(new[:, :-1], d[:, 1:] + 1)
             d = np.minimum.accumulate(new - col, axis=1) + col
-            done = self.size[nd] == i + 1
+            done = self.size[it] == i + 1
             best[done] = d[done].min(1)
         return best
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", q: int = Q, needle: int = NEEDLE, errors: float = ERRORS, index_chars: int = INDEX_CHARS) -> DataFrame:
-    """(doc_id, item_id, needles, edits): each item of which a document holds some needle, how many, and the fewest edits."""
+    """(doc_id, item_id, needles, edits): each item of which a document holds some needle, how many of its needles, and the fewest edits."""
     spark = docs.sparkSession
     own = cols(docs, id=id_col, text=text_col).where("id IS NOT NULL AND text IS NOT NULL").select(F.col("id").cast("long").alias("id"), "text")
     items = cols(benchmark, item=item_col, text=item_text_col).where("item IS NOT NULL AND text IS NOT NULL").select(F.col("item").cast("long").alias("item"), "text").distinct()
@@ -179,9 +185,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
             for b in batches:
                 ids = np.asarray(b.column("id"))
                 for i, _, buf, off in vec.slices(b.column("text")):
-                    row, nd, edits = ix.matches(*normal(*vec.codepoints(buf, off)))
+                    row, it, nd, edits = ix.matches(*normal(*vec.codepoints(buf, off)))
                     if len(row):
-                        yield pa.RecordBatch.from_arrays([pa.array(ids[i + row]), pa.array(ix.item[nd]), pa.array(nd), pa.array(edits.astype(np.int64))], ["doc_id", "item_id", "needle", "edits"])
+                        yield pa.RecordBatch.from_arrays([pa.array(ids[i + row]), pa.array(ix.item[it]), pa.array(nd), pa.array(edits.astype(np.int64))], ["doc_id", "item_id", "needle", "edits"])
 
         got = own.mapInArrow(run, "doc_id long, item_id long, needle long, edits long")
         found = got if found is None else found.union(got)

@@ -105,3 +105,32 @@ def test_defined_cases(spark):
 
 def test_index_of_nothing():
     assert len(Index([]).matches(np.arange(40, dtype=np.uint32), np.array([0, 40]))[0]) == 0
+
+
+def test_same_as_full_alignment_of_all_runs_of_an_item(spark, data):
+    rng = random.Random(8)
+    _, items = data
+    items = [(i, norm(t)) for i, t in items]
+    filler = " ".join(f"filler{i}" for i in range(12))
+    docs = []
+    for d in range(24):
+        t = items[d % 6][1]
+        a = rng.randrange(max(1, len(t) - 95))
+        docs.append((d, f"{filler} {edit(rng, t[a : a + rng.choice([70, 96, 110, 150])], rng.choice([0, 0, 3, 6]))} {filler}"))
+    want = set()
+    for i, t in items:
+        m = min(96, len(t))
+        for s in range(len(t) - m + 1):
+            most = min(m // 16, (m - decontam.Q) // decontam.Q)
+            want |= {(d, i, s) for d, text in docs if d % 6 == i and sellers(t[s : s + m], norm(text)) <= most}
+    got = leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id): r.needles for r in got} == {(d, i): len({s for e, j, s in want if (e, j) == (d, i)}) for d, i, _ in want}
+    assert len(got) > 8
+
+
+@pytest.mark.parametrize(("length", "a", "b"), [(233, 10, 140), (394, 30, 180), (394, 60, 156)])
+def test_a_verbatim_fragment_is_found_wherever_it_begins(spark, length, a, b):
+    rng = random.Random(length)
+    item = "".join(rng.choice("abcdefghijkl") for _ in range(length))
+    got = leaks(spark.createDataFrame([(1, "before " + item[a:b] + " after")], "doc_id long, text string"), spark.createDataFrame([(9, item)], "item_id long, text string")).collect()
+    assert [(r.doc_id, r.item_id, r.edits) for r in got] == [(1, 9, 0)] and got[0].needles >= b - a - 95
