@@ -7,8 +7,9 @@ algorithm), until the cells hold at least ``SHARE`` of all vectors, and ``LEAST`
 same sum, are ranked by the true distance.
 
 Walks and entries meet by blocks: neighbouring cells of about ``BLOCK`` entries are one block, queries come in
-chunks of about ``CHUNK`` to each block that they walk, with the sum at which their walk ended; each block gives its best, and the
-best of these remain. SHARE is what vectors without any structure need for a recall of 0.9, and makes the work
+chunks of about ``CHUNK`` to each block that they walk, with the sum at which their walk ended; each block gives the best k ids of
+a query, chosen by exact distance among all that float32 may have among them, and the best of these remain. Where ids have several vectors, queries
+whose walk met fewer than k other ids walk all cells. SHARE is what vectors without any structure need for a recall of 0.9, and makes the work
 quadratic, as an exact search's; clustered vectors do with far less.
 
 Defined cases: a null id or vector, a vector with a null, NaN or infinite part, an empty one, or one of another length than
@@ -128,7 +129,7 @@ def neighbours(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embed
     block = np.minimum((np.cumsum(sizes) - sizes) * blocks // max(1, total), blocks - 1).astype(np.int32)
     grid, of_cell = sizes.reshape(n1, n2).tolist(), block.reshape(n1, n2).tolist()
 
-    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def route(batches: Iterator[pa.RecordBatch], want: int) -> Iterator[pa.RecordBatch]:
         for t in batches:
             x = _matrix(t.column("v"), dim).astype(np.float64)
             d1, d2 = squared(x[:, :half], books[0]), squared(x[:, half:], books[1])
@@ -150,31 +151,54 @@ def neighbours(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embed
         ids, cell, x = own["id"].to_numpy(), own["cell"].to_numpy(), np.stack(own["v"]).astype(np.float64)
         order = np.argsort(ids, kind="stable")
         ids, x, c1, c2 = ids[order], x[order], cell[order] // n2, cell[order] % n2
-        x32 = x.astype(np.float32)
+        # squares of the largest parts must not overflow
+        kind = np.float32 if max(np.abs(x).max(), max(np.abs(v).max() for v in queries["v"])) < 1e15 else np.float64
+        x32 = x.astype(kind)
         norm = (x32 * x32).sum(1)
+        # twice what rounding may change in a squared distance, for norms of 1
+        slack = 4 * (dim + 8) * np.finfo(kind).eps
+        each = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
         found = [none]
         for s in range(0, len(queries), 256):
             part = queries.iloc[s : s + 256]
             qi, q = part["id"].to_numpy(), np.stack(part["v"]).astype(np.float64)
             d1, d2 = squared(q[:, :half], books[0]), squared(q[:, half:], books[1])
             reach = (part["last"].to_numpy() * (1 + 1e-9) + 1e-12)[:, None]
-            q32 = q.astype(np.float32)
-            d = (q32 * q32).sum(1)[:, None] - 2 * q32 @ x32.T + norm
+            q32 = q.astype(kind)
+            own_norm = (q32 * q32).sum(1)
+            d = own_norm[:, None] - 2 * q32 @ x32.T + norm
             d[(d1[:, c1] + d2[:, c2] > reach) | (ids == qi[:, None])] = np.inf
-            # a few more than k, for what float32 may misplace
-            m = min(k + 10, d.shape[1])
-            at = np.argpartition(d, m - 1, axis=1)[:, :m]
-            r = np.repeat(np.arange(len(q)), m)
-            ok = np.isfinite(d[r, at.ravel()])
-            r, at = r[ok], at.ravel()[ok]
-            found.append(pd.DataFrame({"vec_id": qi[r], "neighbour_id": ids[at], "distance": np.sqrt(((x[at] - q[r]) ** 2).sum(1))}))
+            # all rows that may be nearer than the k-th id's nearest
+            by_id = d if len(each) == len(ids) else np.minimum.reduceat(d, each, axis=1)
+            m = min(k, by_id.shape[1])
+            limit = np.partition(by_id, m - 1, axis=1)[:, m - 1] + slack * (own_norm + norm.max())
+            r, at = np.nonzero((d <= limit[:, None]) & np.isfinite(d))
+            exact = np.concatenate([np.zeros(0), *[np.sqrt(((x[at[i : i + 32768]] - q[r[i : i + 32768]]) ** 2).sum(1)) for i in range(0, len(r), 32768)]])
+            # each id's best row, then each query's best k ids
+            o = np.lexsort((exact, ids[at], r))
+            r, at, exact = r[o], at[o], exact[o]
+            one = np.r_[True, (r[1:] != r[:-1]) | (ids[at][1:] != ids[at][:-1])][: len(r)]
+            r, at, exact = r[one], at[one], exact[one]
+            o = np.lexsort((ids[at], exact, r))
+            r, at, exact = r[o], at[o], exact[o]
+            top = np.arange(len(r)) - np.searchsorted(r, r) < k
+            found.append(pd.DataFrame({"vec_id": qi[r[top]], "neighbour_id": ids[at[top]], "distance": exact[top]}))
         return pd.concat(found[1:] or found)
 
-    queries = entries.select("id", "v").mapInArrow(route, "id long, v array<float>, last double, block int").withColumn("chunk", F.pmod(F.xxhash64("id"), F.lit(chunks)).cast("int"))
     # one row for each cell
     places = spark.createDataFrame([(c, int(b)) for c, b in enumerate(block)], "cell int, block int")
     placed = entries.join(F.broadcast(places), "cell").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
-    got = queries.groupBy("block", "chunk").cogroup(placed.groupBy("block", "chunk")).applyInPandas(rank, "vec_id long, neighbour_id long, distance double")
-    best = got.groupBy("vec_id", "neighbour_id").agg(F.min("distance").alias("distance"))
+
+    def nearest(of: DataFrame, want: int) -> DataFrame:
+        queries = of.select("id", "v").mapInArrow(lambda batches: route(batches, want), "id long, v array<float>, last double, block int").withColumn("chunk", F.pmod(F.xxhash64("id"), F.lit(chunks)).cast("int"))
+        got = queries.groupBy("block", "chunk").cogroup(placed.groupBy("block", "chunk")).applyInPandas(rank, "vec_id long, neighbour_id long, distance double")
+        return got.groupBy("vec_id", "neighbour_id").agg(F.min("distance").alias("distance"))
+
+    best = nearest(entries, want)
+    if (ids := entries.select("id").distinct().count()) < total:  # else a walk meets as many ids as entries
+        best = settle(best, "nearest")
+        full = best.groupBy("vec_id").count().where(F.col("count") >= min(k, ids - 1)).select(F.col("vec_id").alias("id"))
+        rest = entries.join(full, "id", "left_anti")
+        best = best.join(rest.select(F.col("id").alias("vec_id")).distinct(), "vec_id", "left_anti").union(nearest(rest, total))
     nth = F.row_number().over(Window.partitionBy("vec_id").orderBy("distance", "neighbour_id"))
     return best.withColumn("rank", nth).where(F.col("rank") <= k).select("vec_id", "neighbour_id", "distance", "rank")

@@ -59,3 +59,26 @@ def test_defined_cases(spark):
     got = [(r.vec_id, r.neighbour_id, r["rank"]) for r in neighbours(df, k=2).orderBy("vec_id", "rank").collect()]
     assert got == [(1, 9, 1), (1, 2, 2), (2, 3, 1), (2, 9, 2), (3, 2, 1), (3, 9, 2), (9, 1, 1), (9, 2, 2)]
     assert neighbours(df.limit(0)).collect() == [] and neighbours(df.where("vec_id = 9")).collect() == []
+
+
+def test_ties_and_repeated_ids_are_exact(spark):
+    rng = np.random.default_rng(3)
+    rows = [(int(i), [1.0, 1.0, 1.0, 1.0]) for i in rng.permutation(60)]  # one distance for all
+    rows += [(100, [3.0, 3.0, 3.0, 3.0 + j / 1024]) for j in range(40)]  # one id many times
+    rows += [(200 + j, [4.0, 4.0, 4.0, 4.0 + j]) for j in range(12)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    ids, x = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
+    want = {}
+    for q in set(ids.tolist()):
+        d = {}
+        for v in x[ids == q]:
+            for i, e in zip(ids.tolist(), np.sqrt(((x - v) ** 2).sum(1))):
+                if i != q:
+                    d[i] = min(e, d.get(i, np.inf))
+        want[q] = sorted(d, key=lambda i: (d[i], i))[:10]
+    got = {}
+    for r in neighbours(df, centroids=4, share=1.0).orderBy("vec_id", "rank").collect():
+        got.setdefault(r.vec_id, []).append(r.neighbour_id)
+    assert got == want
+    short = neighbours(df, centroids=4, share=0.0, least=20).groupBy("vec_id").count().collect()
+    assert {r.vec_id: r["count"] for r in short} == {q: 10 for q in want}
