@@ -112,6 +112,8 @@ def _digits(m: re.Match) -> list[tuple[int, int, str]]:
 
 
 _WORDS = frozenset(_WORD_DIGIT)
+#: Spelled digits that are other words, too; one alone beside a whole number is no part of it.
+_ARTICLES = frozenset(("un", "uno", "one", "oh"))
 _DIGIT = re.compile(r"\d")
 
 
@@ -214,8 +216,11 @@ def find(text: str | None) -> list[tuple[str, int, int]]:
         return []
     tape = normalise(text)
     got = _detected(tape)
-    if tape.spelled:  # a number followed by a word such as "one" is a number still
-        got += [(k, a, b) for k, a, b in _detected(normalise(text, spelled=False)) if all(b <= x or a >= y for _, x, y in got)]
+    if tape.spelled:  # a number in figures that is followed by a word such as "one" is a number still
+        for k, a, b in _detected(normalise(text, spelled=False)):
+            met = [x for x in got if a < x[2] and b > x[1]]
+            if not met or len(met) == 1 and met[0][1] <= a and b <= met[0][2] and _lower((text[met[0][1] : a] + text[b : met[0][2]]).strip(" \t\n,.-")) in _ARTICLES:
+                got = [x for x in got if x not in met] + [(k, a, b)]
     return sorted(got, key=lambda x: x[1])
 
 

@@ -89,6 +89,8 @@ def test_defined_cases(spark):
         ("the key eyJabcdefghij.abcdefghij.abc was lost", "secret", "eyJabcdefghij.abcdefghij.abc"),
         ("call 415 555 267 nine, please", "phone", "415 555 267 nine"),
         ("call 415-555-2679 one more time", "phone", "415-555-2679"),
+        ("voir +1 (389) 555-4387 un ami", "phone", "+1 (389) 555-4387"),
+        ("voir 4958536470539468 un ami", "card", "4958536470539468"),
     ],
 )
 def test_gates_let_through_what_the_searches_find(text, kind, held):
