@@ -84,6 +84,32 @@ def test_several_passes_find_the_same(spark, data):
     assert sorted(one.collect()) == sorted(many.collect())
 
 
+def test_passes_do_not_merge_the_texts_of_one_item(spark):
+    rng = random.Random(12)
+    texts = ["".join(rng.choice("abcdefghijkl") for _ in range(100 + 2 * k)) for k in range(3)]
+    b = spark.createDataFrame([(7, t) for t in texts], "item_id long, text string")
+    d = spark.createDataFrame([(1, " and ".join(texts))], "doc_id long, text string")
+    want = [(1, 7, 5 + 7 + 9, 0)]
+    for chars in (10**6, 250, 150, 60, 1):
+        got = [tuple(r) for r in leaks(d, b, index_chars=chars).collect()]
+        assert [(a, i, e) for a, i, _, e in got] == [(1, 7, 0)] and got[0][2] >= want[0][2]
+        assert got == [tuple(r) for r in leaks(d, b).collect()]
+
+
+def test_punctuation_of_other_scripts_is_no_letter(spark):
+    item = "漢字の文章はここにあり十分に長いので見つかるはずである" * 2
+    doc = "前" + item.replace("は", "は、").replace("の", "の😀 ") + "後"
+    got = leaks(spark.createDataFrame([(1, doc)], "doc_id long, text string"), spark.createDataFrame([(9, item.replace("は", "は "). replace("の", "の "))], "item_id long, text string"))
+    assert [(r.doc_id, r.item_id, r.edits) for r in got.collect()] == [(1, 9, 0)]
+
+
+def test_index_is_small():
+    rng = np.random.default_rng(1)
+    text = "".join(map(chr, rng.integers(97, 123, 400_000)))
+    ix = Index([(1, 1, text)])
+    assert sum(x.nbytes for x in vars(ix).values() if isinstance(x, np.ndarray)) < 30 * len(text)
+
+
 def test_case_punctuation_and_spacing_do_not_hide(spark):
     item = "Was ever a passage, of some length; so well-hidden in plain sight as this one is, here and now?"
     doc = "xx " + item.upper().replace(" ", " \n ").replace(",", " -- ") + " yy"
