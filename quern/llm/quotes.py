@@ -7,7 +7,7 @@ as a whole is linked by its lines, to the latest original. A message replies to
 least deep linked passage, or else to the message before it. A conversation lists each message after the one it replies to,
 replies of one message in the order of turns, with all quoted lines, and the "... wrote:" line before them, left out.
 
-Texts of fewer than three words link nothing. Defined cases: rows with a null conversation or turn are left out; a null role is
+Texts of fewer than ``least_words`` words link nothing; by default one word is enough. Defined cases: rows with a null conversation or turn are left out; a null role is
 "unknown"; a null or blank text, or one of quotes only, has no entry of its own but is counted; repeated rows count once; several rows of one turn are
 ordered by role and text; an empty table gives no rows; columns besides the named are ignored; whole texts are used.
 """
@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from quern.llm.frames import cols
 
+LEAST_WORDS = 1
 WROTE = r"^\s*(?:On|Am|Le|El)\b.*\b(?:wrote|schrieb|écrit|escribió)\b.*:\s*$"
 
 
@@ -56,7 +57,7 @@ def _ordered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(conv), pa.array(seq), pa.array(reply_order(conv, seq, parent))], ["conv", "seq", "place"])
 
 
-def conversations(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
+def conversations(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:
     """(conv_id, n_messages, n_quotes, chat): the number of linked passages, and ``<|role|>`` blocks in reply order."""
     m = cols(messages, conv=conv_col, turn=turn_col, role=role_col, text=text_col).where("conv IS NOT NULL AND turn IS NOT NULL").distinct()
     m = m.select(F.col("conv").cast("long").alias("conv"), "turn", F.coalesce("role", F.lit("unknown")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
@@ -76,7 +77,7 @@ def conversations(messages: DataFrame, conv_col: str = "conv_id", turn_col: str
     runs = lines.where(~F.col("wrote") & (F.col("key") != "")).groupBy("conv", "seq", "run", "level").agg(by_pos("key").alias("key"), F.collect_set("key").alias("each"))
     own_text = lines.where((F.col("level") == 0) & ~F.col("wrote")).groupBy("conv", "seq").agg(F.regexp_replace(by_pos("line"), r"^\s+|\s+$", "").alias("own"))
 
-    telling = lambda c: F.col(c).like("% % %")
+    telling = lambda c: (F.col(c) != "") & (F.size(F.split(c, " ")) >= least_words)
     first = runs.where("level = 0")
     originals = (
         first.select("conv", "seq", F.explode(F.array_append("each", F.col("key"))).alias("k"))
@@ -116,7 +117,7 @@ runs AS (SELECT conv, seq, run, level, string_agg(key, ' ' ORDER BY pos) AS key,
 own AS (SELECT conv, seq, regexp_replace(string_agg(line, chr(10) ORDER BY pos), '^\s+|\s+$', '', 'g') AS own FROM l4 WHERE level = 0 AND NOT wrote GROUP BY ALL),
 held AS (SELECT conv, seq, unnest(list_append(lines, key)) AS k FROM runs WHERE level = 0
          UNION ALL SELECT conv, seq, trim(regexp_replace(lower(own), '[^\p{L}\p{N}]+', ' ', 'g')) FROM own),
-originals AS (SELECT conv, k, min(seq) AS orig FROM held WHERE k LIKE '% % %' GROUP BY ALL),
+originals AS (SELECT conv, k, min(seq) AS orig FROM held WHERE k <> '' GROUP BY ALL),
 keys AS (SELECT conv, seq, run, level, key, unnest(list_append(lines, key)) AS k FROM runs WHERE level > 0),
 linked AS (SELECT conv, seq, run, level, coalesce(max(orig) FILTER (WHERE k = key), max(orig)) AS orig
            FROM keys JOIN originals USING (conv, k) WHERE orig < seq GROUP BY ALL),

@@ -62,6 +62,15 @@ def test_random_threads_match_sql(spark):
     assert got == by_sql(rows) and sum(v[1] for v in got.values()) > 30
 
 
+def test_short_quotes_link_too(spark):
+    rows = [(1, 0, "a", "Shall we meet at noon?"), (1, 1, "b", "Yes, agreed."), (1, 2, "c", "何時がよいですか"), (1, 3, "d", "> yes agreed\nFine."), (1, 4, "e", "> 何時がよいですか\n正午に"), (1, 5, "f", "> No\nWhy not?")]
+    got = run(spark, rows)
+    assert got == by_sql(rows) and got[1][:2] == (6, 2)
+    assert [x.split("\n")[0] for x in got[1][2].split("<|")[1:]] == ["a|>", "b|>", "c|>", "e|>", "f|>", "d|>"]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    assert [(r.n_messages, r.n_quotes) for r in conversations(df, least_words=3).collect()] == [(6, 0)]
+
+
 def test_reply_order_is_depth_first():
     conv, seq, parent = np.array([1] * 5 + [2] * 2), np.array([1, 2, 3, 4, 5, 1, 2]), np.array([0, 1, 1, 2, 3, 0, 1])
     assert list(reply_order(conv, seq, parent)) == [0, 1, 3, 2, 4, 0, 1]
@@ -71,5 +80,5 @@ def test_defined_cases(spark):
     long = "many words here " * 20000
     rows = [(None, 1, "user", "x"), (1, None, "user", "x"), (2, 0, None, "hello"), (2, 0, None, "hello"), (2, 1, "user", None), (2, 2, "user", ""), (2, 3, "user", "> hello\n> there"), (3, 0, "user", long), (3, 1, "assistant", "> " + long + "\nshort"), (4, 5, "b", "second"), (4, 5, "a", "first")]
     got = run(spark, rows)
-    assert got == {2: (4, 0, "<|unknown|>\nhello"), 3: (2, 1, f"<|user|>\n{long.strip()}\n<|assistant|>\nshort"), 4: (2, 0, "<|a|>\nfirst\n<|b|>\nsecond")}
+    assert got == {2: (4, 1, "<|unknown|>\nhello"), 3: (2, 1, f"<|user|>\n{long.strip()}\n<|assistant|>\nshort"), 4: (2, 0, "<|a|>\nfirst\n<|b|>\nsecond")}
     assert run(spark, []) == {}
