@@ -5,7 +5,7 @@ import pytest
 import corpus_pipeline
 from quern.llm import stages
 
-COLUMNS = "doc_id long, text string, lang string, source string, n_chars long, id long, score string"
+COLUMNS = "doc_id long, text string, lang string, source string, n_chars long, id long, score string, nth string, _score string"
 VOCAB = [a + b + c for a in ("th", "er", "st", "on", "re", "an") for b in ("ou", "ea", "in", "at") for c in ("", "ly", "ed", "ble")]
 
 
@@ -22,7 +22,7 @@ def tables(spark, tmp_path_factory):
     def add(what, text):
         d = len(rows)
         kind[d] = what
-        rows.append((d, text, "en", "s", len(text), 5, "x"))
+        rows.append((d, text, "en", "s", len(text), 5, "x", "n", "keep"))
         return d
 
     for _ in range(40):
@@ -37,7 +37,7 @@ def tables(spark, tmp_path_factory):
         add("leak", unique(0, 40) + " " + bench[i][1] + " " + unique(0, 40))
     for i in range(5):
         add("private", unique(0, 40) + f" write to user{i} [at] mail [dot] com today " + unique(0, 30))
-    rows += [(900, None, "en", "s", 0, None, None), (901, "", "en", "s", 0, None, None), (None, unique(0, 70), None, None, None, None, None), rows[0], rows[3]]
+    rows += [(900, None, "en", "s", 0, None, None, None, "keep"), (901, "", "en", "s", 0, None, None, None, "keep"), (None, unique(0, 70), None, None, None, None, None, None, "keep"), rows[0], rows[3]]
     labels = [(d, int(kind[d] != "junk"), 0) for d in kind if d % 3 != 1]
     at = str(tmp_path_factory.mktemp("pipe"))
     spark.createDataFrame(rows, COLUMNS).repartition(3).write.parquet(f"{at}/documents.parquet")
@@ -54,9 +54,11 @@ def test_each_stage_does_just_its_own(spark, tables):
     good = stages.accept_quality(spark, docs, at)
     assert good.columns == docs.columns
     assert ids(good) == [d for d in whole if d not in (900, 901) and kind.get(d) != "junk"]
+    assert {(r._score, r.nth) for r in good.where("doc_id IS NOT NULL").collect()} == {("keep", "n")}
     once = stages.drop_near_duplicates(spark, docs, at)
     assert once.columns == docs.columns
     assert ids(once) == sorted({d for d in whole if kind.get(d) != "copy"} | {None}, key=str)
+    assert {r._score for r in once.collect()} == {"keep"}
     pure = stages.drop_leaks(spark, docs, at)
     assert pure.columns == docs.columns and ids(pure) == [d for d in whole if kind.get(d) != "leak"]
     public = stages.mask_identifiers(spark, docs, at)
@@ -71,7 +73,7 @@ def test_the_whole_keeps_the_clean_and_packs_them_once(spark, tables):
     bins = corpus_pipeline.run(spark, at).collect()
     got = [d for b in bins for d in b.doc_ids]
     assert sorted(got) == [d for d, k in kind.items() if k in ("clean", "private")]
-    assert all(sum(b.lengths) == b.used <= 8192 for b in bins)
+    assert all(sum(b.lengths) == b.used == len(b.tokens) <= 8192 for b in bins)
     assert [n for n, _ in corpus_pipeline.STAGES][0] == "quality_classifier" and len(corpus_pipeline.STAGES) == 5
 
 
@@ -80,3 +82,17 @@ def test_empty_tables(spark, tables, tmp_path):
     for t in ("documents", "labels", "benchmark"):
         spark.read.parquet(f"{at}/{t}.parquet").limit(0).write.parquet(f"{tmp_path}/{t}.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_very_long_and_repeated_texts_pass_all_stages(spark, tables, tmp_path):
+    at, _ = tables
+    docs = spark.read.parquet(f"{at}/documents.parquet")
+    rng = random.Random(4)
+    long = " ".join(rng.choice(VOCAB) + rng.choice(VOCAB) for _ in range(60_000)) + "."
+    more = docs.where("doc_id = 1").selectExpr("950L AS doc_id", f"'{long}' AS text", *[f"`{c}`" for c in docs.columns[2:]])
+    docs.unionByName(more).unionByName(more).write.parquet(f"{tmp_path}/documents.parquet")
+    for t in ("labels", "benchmark"):
+        spark.read.parquet(f"{at}/{t}.parquet").write.parquet(f"{tmp_path}/{t}.parquet")
+    bins = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    mine = sorted((s, n) for b in bins for d, s, n in zip(b.doc_ids, b.starts, b.lengths) if d == 950)
+    assert sum(n for _, n in mine) == len(long) + 1 and [s for s, _ in mine] == list(range(0, len(long) + 1, 8192))
