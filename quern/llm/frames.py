@@ -20,6 +20,14 @@ def cols(df: DataFrame, **named: str) -> DataFrame:
     return df.select(*[F.col(f"`{c}`").alias(k) for k, c in named.items()])
 
 
+def free(df: DataFrame, name: str) -> str:
+    """``name``, with underscores before it until no column of ``df`` is called so (case aside)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def sized(ids: DataFrame) -> DataFrame:
     """``ids`` with a broadcast hint where its counted rows allow it, else as it is for a shuffled join."""
     n = ids.limit(BROADCAST_ROWS + 1).count()

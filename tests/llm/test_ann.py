@@ -1,6 +1,7 @@
 import numpy as np
 import pytest
 
+from quern.llm import ann
 from quern.llm.ann import neighbours, squared, walk
 
 DIR = "/root/testdata/sf0.1"
@@ -42,6 +43,36 @@ def test_recall_over_the_whole_table(spark):
         assert all(abs(np.linalg.norm(x[at[q]] - x[at[n]]) - d) < 1e-9 for n, d in got[q].values())
 
 
+def test_the_production_form_reaches_its_recall(spark):
+    """Every id divisible by 20 against all rows, on two sizes; brute force over the whole table."""
+    for at in ("/root/testdata/sf0.01", DIR):
+        df = spark.read.parquet(f"{at}/embeddings.parquet")
+        rows = df.collect()
+        ids, x = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows], np.float64)
+        want = brute(ids, x, 10)
+        got = {}
+        for r in neighbours(df, df.where("vec_id % 20 = 0")).collect():
+            got.setdefault(r.vec_id, set()).add(r.neighbour_id)
+        assert set(got) == {i for i in ids.tolist() if i % 20 == 0} and {len(g) for g in got.values()} == {10}
+        assert np.mean([len(got[q] & set(want[q])) / 10 for q in got]) >= 0.9
+
+
+def test_clustered_vectors_need_a_small_share(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(60, 16)) * 4
+    x = (centres[rng.integers(0, 60, 6000)] + rng.normal(size=(6000, 16)) * 0.3).astype(np.float32).astype(np.float64)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    shares = []
+    real = ann.needed
+    monkeypatch.setattr(ann, "needed", lambda *a: shares.append(real(*a)) or shares[-1])
+    got = {}
+    for r in neighbours(df, df.where("vec_id % 20 = 0")).collect():
+        got.setdefault(r.vec_id, set()).add(r.neighbour_id)
+    d = squared(x, x)
+    hits = [len(got[q] & set([j for j in np.argsort(d[q], kind="stable") if j != q][:10])) / 10 for q in got]
+    assert np.mean(hits) >= 0.9 and shares[0] < 0.1
+
+
 def test_walking_all_cells_is_exact(spark):
     rng = np.random.default_rng(1)
     x = rng.normal(size=(150, 6)).astype(np.float32).astype(np.float64)
@@ -80,5 +111,5 @@ def test_ties_and_repeated_ids_are_exact(spark):
     for r in neighbours(df, centroids=4, share=1.0).orderBy("vec_id", "rank").collect():
         got.setdefault(r.vec_id, []).append(r.neighbour_id)
     assert got == want
-    short = neighbours(df, centroids=4, share=0.0, least=20).groupBy("vec_id").count().collect()
+    short = neighbours(df, centroids=4, share=0.0).groupBy("vec_id").count().collect()
     assert {r.vec_id: r["count"] for r in short} == {q: 10 for q in want}
