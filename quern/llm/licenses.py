@@ -1,13 +1,16 @@
-"""Licence scan: TF-IDF cosine of headers and licence files to templates, then directory inheritance.
+"""Licence scan: sparse TF-IDF cosine of headers and licence files to templates, then directory inheritance.
 
-A file's headers are its lines, wherever they stand; a licence file (named LICENSE, LICENCE, COPYING or UNLICENSE, with or without an ending)
-is compared as a whole, too. Words are runs of ASCII letters, digits and characters of other scripts; a
-word of the templates weighs by its count times its inverse document frequency over all files, any other word as
-the templates' mean word does. The best template at a cosine of ``THRESHOLD`` or more is the file's own licence. Files without one
-take that of the nearest ancestor directory that holds a licence file with one: directories and the ancestors of paths are joined.
+A file's headers are its lines, wherever they stand, and all runs of ``LINES`` lines, as notices are wrapped; a licence file (named LICENSE,
+LICENCE, COPYING or UNLICENSE, with or without an ending) is compared as a whole, too. Templates are short wordings of headers and
+the whole texts of common licences, these kept as counts of their words in ``license_words.json``. Words are runs of ASCII letters, digits and
+characters of other scripts; a word of the templates weighs by its count times its inverse document frequency over all files, any other word as
+the templates' mean word does. The best template at a cosine of ``THRESHOLD`` or more is the file's own licence: for a licence file that
+of its whole text if there is one, else of its headers; a reservation of all rights ("Proprietary") counts if nothing else is found. Files without
+a licence take that of the nearest ancestor directory that holds a licence file with one: directories and the ancestors of paths are joined.
 
-The cosine to any template is at most the share of a line's norm that lies in template words, so lines under the
-threshold by that bound are passed over without loss.
+Products are sparse: only words that a run shares with templates are multiplied, by the postings of each word. The cosine to any template is at most the
+share of a run's norm that lies in template words, and for a run of L lines with known and unknown weights K and U of the lines at most
+sqrt(L K / (L K + U)), so runs under the threshold by that bound are passed over without loss.
 
 Defined cases: a null or blank text has no licence of its own but may inherit; a null path can't inherit and is reported with
 its own licence only; of several best templates the first by name holds; of several licence files in one directory the best score, then the least path, then the least id;
@@ -17,7 +20,10 @@ texts are read whole.
 
 from __future__ import annotations
 
+import json
+from collections import Counter
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +35,9 @@ from quern.llm.frames import cols
 from quern.session import settle
 
 THRESHOLD = 0.6
+#: Lines of the runs that are compared.
+LINES = (1, 2, 4)
+RESERVED = "Proprietary"
 LICENCE_FILE = r"(?i)(?:^|/)(?:un)?(?:licen[cs]e|copying)[^/]*$"
 #: (licence, wording) as commonly written in headers.
 TEMPLATES = [
@@ -54,6 +63,11 @@ TEMPLATES = [
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
     ("GPL-3.0", "GNU General Public License Version 3, 29 June 2007"),
     ("GPL-3.0", "SPDX-License-Identifier: GPL-3.0-or-later"),
+    ("GPL-3.0", "it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or"),
+    ("GPL-2.0", "it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or"),
+    ("AGPL-3.0", "it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or"),
+    ("LGPL-3.0", "it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or"),
+    ("LGPL-2.1", "modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or"),
     ("ISC", "Licensed under the ISC License"),
     ("LGPL-3.0", "Licensed under the GNU Lesser General Public License, version 3."),
     ("MIT", "Released under the MIT License."),
@@ -61,6 +75,7 @@ TEMPLATES = [
     ("MIT", "The MIT License (MIT)"),
     ("MIT", "SPDX-License-Identifier: MIT"),
     ("MPL-2.0", "Subject to the terms of the Mozilla Public License, v. 2.0."),
+    ("Proprietary", "All rights reserved."),
     ("Proprietary", "All rights reserved. Unauthorized copying of this file is strictly prohibited."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 ]
@@ -70,25 +85,35 @@ _NL = np.zeros(256, bool)
 _NL[10] = True
 
 
-def word_sets(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """(first row, row, line, hash) of each word, slice by slice; lines count through the slice."""
+#: licence: the words of its whole text and their counts.
+WHOLE: dict[str, dict[str, int]] = {n: {w: int(c) for w, c in (x.split(":") for x in t.split())} for n, t in json.loads(Path(__file__).with_name("license_words.json").read_text(encoding="utf-8")).items()}
+
+
+def word_sets(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(first row, row, line, hash of each word, row of each line), slice by slice; lines count through the slice, empty ones too."""
     for i, _, buf, off in vec.slices(texts):
         buf = vec.LOWER[buf]
         start, end, row = vec.words(buf, off, _WORD)
         if len(start):
             lines = np.zeros(len(buf) + 1, np.int64)
             np.cumsum(_NL[buf], out=lines[1:])
-            yield i, row, lines[start] + row, vec.word_hashes(buf, start, end)
+            per = np.diff(lines[off]) + 1
+            yield i, row, lines[start] + row, vec.word_hashes(buf, start, end), np.repeat(np.arange(len(off) - 1), per)
 
 
 class Templates:
-    def __init__(self, templates: list[tuple[str, str]] = TEMPLATES) -> None:
-        order = sorted(templates)
-        self.name = [n for n, _ in order]
-        _, row, _, h = next(word_sets(pa.array([t for _, t in order], pa.large_string())))
+    """Templates in the order of (name, counts): postings of each word, sparse."""
+
+    def __init__(self, templates: list[tuple[str, str]] = TEMPLATES, whole: dict[str, dict[str, int]] = WHOLE) -> None:
+        bags = [(n, _bag(t)) for n, t in sorted(templates)] + sorted(whole.items())
+        self.name = [n for n, _ in bags]
+        own = np.repeat(np.arange(len(bags)), [len(b) for _, b in bags])
+        tf = np.array([c for _, b in bags for c in b.values()], float)
+        h = np.concatenate([x[3] for x in word_sets(pa.array([" ".join(b) for _, b in bags], pa.large_string()))])
         self.vocab, term = np.unique(h, return_inverse=True)
-        self.tf = np.zeros((len(order), len(self.vocab)))
-        np.add.at(self.tf, (row, term), 1)
+        order = np.lexsort((own, term))
+        self.own, self.term, self.tf = own[order], term[order], tf[order]
+        self.first = np.searchsorted(self.term, np.arange(len(self.vocab) + 1))
 
     def terms(self, h: np.ndarray) -> np.ndarray:
         """Each hash's place in the vocabulary, or -1."""
@@ -97,79 +122,110 @@ class Templates:
 
     def weigh(self, df: np.ndarray, files: int) -> None:
         self.idf = np.log((1 + files) / (1 + df)) + 1
-        w = self.tf * self.idf
-        self.w = w / np.sqrt((w * w).sum(1))[:, None]
+        w = self.tf * self.idf[self.term]
+        self.w = w / np.sqrt(np.bincount(self.own, w * w))[self.own]
         self.other = float(self.idf.mean())
 
-    def best(self, unit: np.ndarray, h: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(unit, template, cosine) of the units of words whose best cosine reaches the threshold."""
+    def counts(self, unit: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(unit, term or -1, count, weight) of the distinct words of each unit, by unit."""
         order = np.lexsort((h, unit))
         unit, h = unit[order], h[order]
-        new = np.r_[True, (unit[1:] != unit[:-1]) | (h[1:] != h[:-1])]
-        at = np.flatnonzero(new)
-        tf = np.diff(np.r_[at, len(h)])
-        unit, term = unit[at], self.terms(h[at])
-        w = tf * np.where(term >= 0, self.idf[term], self.other)
-        first = np.flatnonzero(np.r_[True, unit[1:] != unit[:-1]])
-        norm = np.add.reduceat(w * w, first)
-        known = np.add.reduceat(np.where(term >= 0, w * w, 0), first)
-        units, group = unit[first], np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(unit)]))
-        maybe = known >= threshold * threshold * norm * (1 - 1e-9)
+        at = np.flatnonzero(np.r_[True, (unit[1:] != unit[:-1]) | (h[1:] != h[:-1])])
+        n = np.diff(np.r_[at, len(h)])
+        term = self.terms(h[at])
+        return unit[at], term, n, np.where(term >= 0, self.idf[term], self.other)
+
+    def best(self, unit: np.ndarray, h: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(unit, template, cosine) of each unit of words and template that reach the threshold."""
+        none = np.zeros(0, np.int64)
+        if not len(unit):
+            return none, none, none
+        unit, term, n, w = self.counts(unit, h)
+        w = w * n
+        units, group = np.unique(unit, return_inverse=True)
+        norm = np.bincount(group, w * w)
+        known = term >= 0
+        maybe = np.bincount(group[known], w[known] ** 2, len(units)) >= threshold * threshold * norm * (1 - 1e-9)
+        m = known & maybe[group]
+        group, term, w = group[m], term[m], w[m]
+        n = self.first[term + 1] - self.first[term]
+        at = np.repeat(self.first[term] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum()) if len(n) else none
         number = np.cumsum(maybe) - 1
-        m = maybe[group] & (term >= 0)
-        x = np.zeros((int(maybe.sum()), len(self.vocab)))
-        x[number[group[m]], term[m]] = w[m]
-        cos = x @ self.w.T / np.sqrt(norm[maybe])[:, None]
-        pick = np.round(cos, 9).argmax(1) if len(cos) else np.zeros(0, np.int64)
-        score = cos[np.arange(len(cos)), pick]
-        ok = score >= threshold
-        return units[maybe][ok], pick[ok], score[ok]
+        key = np.repeat(number[group], n) * len(self.name) + self.own[at]
+        cos = np.bincount(key, np.repeat(w, n) * self.w[at], int(maybe.sum()) * len(self.name)).reshape(-1, len(self.name)) / np.sqrt(norm[maybe])[:, None]
+        u, k = np.nonzero(cos >= threshold)
+        return units[maybe][u], k, cos[u, k]
 
+    def runs(self, line: np.ndarray, h: np.ndarray, row_of: np.ndarray, lines: tuple[int, ...], threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(first line, words) of the runs of lines of one row that may reach the threshold, for each length."""
+        own, term, n, w = self.counts(line, h)
+        square = (w * n) ** 2
+        known, other = (np.r_[0, np.cumsum(np.bincount(own[m], square[m], len(row_of)))] for m in (term >= 0, term < 0))
+        first = np.searchsorted(line, np.arange(len(row_of) + 1))
+        for size in lines:
+            s = np.arange(len(row_of) - size + 1)
+            k, u = (x[s + size] - x[s] for x in (known, other))
+            s = s[(row_of[s] == row_of[s + size - 1]) & (k > 0) & (size * k * (1 + 1e-9) >= threshold * threshold * (size * k + np.maximum(u, 0)))]
+            per = first[s + size] - first[s]
+            at = np.repeat(first[s] - np.r_[0, np.cumsum(per)[:-1]], per) + np.arange(per.sum()) if len(s) else s
+            yield np.repeat(s, per), h[at]
 
-def scan(files: DataFrame, id_col: str = "doc_id", path_col: str = "path", text_col: str = "text", threshold: float = THRESHOLD, templates: list[tuple[str, str]] = TEMPLATES) -> DataFrame:
+
+def _bag(text: str) -> dict[str, int]:
+    raw = text.encode()
+    kind = _WORD[np.frombuffer(raw, np.uint8)]
+    return dict(Counter("".join(c.lower() if c.isascii() else c for c in bytes(b if k else 32 for b, k in zip(raw, kind)).decode()).split()))
+
+
+def scan(files: DataFrame, id_col: str = "doc_id", path_col: str = "path", text_col: str = "text", threshold: float = THRESHOLD, lines: tuple[int, ...] = LINES, templates: list[tuple[str, str]] = TEMPLATES, whole: dict[str, dict[str, int]] = WHOLE) -> DataFrame:
     """(doc_id, path, license, score, origin, origin_path): origin is "header", "file" or "inherited"."""
     spark = files.sparkSession
     own = cols(files, id=id_col, path=path_col, text=text_col).withColumn("whole", F.coalesce(F.col("path").rlike(LICENCE_FILE), F.lit(False)))
-    t = Templates(templates)
+    t = Templates(templates, whole)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df, n = np.zeros(len(t.vocab), np.int64), 0
         for b in batches:
             n += b.num_rows
-            for _, row, _, h in word_sets(b.column("text")):
+            for _, row, _, h, _ in word_sets(b.column("text")):
                 term = t.terms(h)
                 k = np.unique(row[term >= 0] * len(t.vocab) + term[term >= 0])
                 df += np.bincount(k % len(t.vocab), minlength=len(t.vocab))
-        yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([df.tolist()], pa.list_(pa.int64()))], ["n", "df"])
+        at = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(np.r_[-1, at]), pa.array(np.r_[n, df[at]])], ["term", "df"])
 
-    # a number for each template word
-    got = own.select("text").mapInArrow(count, "n long, df array<long>").agg(F.sum("n"), *[F.sum(F.col("df")[k]) for k in range(len(t.vocab))]).first()
-    t.weigh(np.array([x or 0 for x in got[1:]], float), got[0] or 0)
+    # a row for each template word, and the number of files
+    got = own.select("text").mapInArrow(count, "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).collect()
+    df = np.zeros(len(t.vocab))
+    for r in got:
+        if r.term >= 0:
+            df[r.term] = r.df
+    t.weigh(df, sum(r.df for r in got if r.term < 0))
     sent = spark.sparkContext.broadcast(t)
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
         for b in batches:
-            best: dict[int, tuple[float, int, str]] = {}
-            whole = np.asarray(b.column("whole"))
-            for i, row, line, h in word_sets(b.column("text")):
-                row_of = np.zeros(int(line[-1]) + 1, np.int64)
-                row_of[line] = row
-                w = whole[i + row]
-                for unit, to_row, kind in ((line, row_of, "header"), (row[w], None, "file")):
-                    if not len(unit):
-                        continue
-                    for u, k, s in zip(*m.best(unit, h if to_row is not None else h[w], threshold)):
-                        r = i + int(u if to_row is None else to_row[u])
-                        new = (-round(float(s), 9), m.name[k], "file" if whole[r] else kind)
-                        if r not in best or new < best[r]:
-                            best[r] = new
-            rows = sorted(best)
-            out = [(best[r][1], -best[r][0], best[r][2]) for r in rows]
+            best: dict[int, tuple] = {}
+            is_file = np.asarray(b.column("whole"))
+
+            def take(rows: np.ndarray, ks: np.ndarray, scores: np.ndarray, whole: bool) -> None:
+                for r, k, s in zip(rows.tolist(), ks.tolist(), scores.tolist()):
+                    new = (not whole, m.name[k] == RESERVED, -round(s, 9), m.name[k])
+                    if r not in best or new < best[r]:
+                        best[r] = new
+
+            for i, row, line, h, row_of in word_sets(b.column("text")):
+                for first, words in m.runs(line, h, row_of, lines, threshold):
+                    u, k, s = m.best(first, words, threshold)
+                    take(i + row_of[u], k, s, False)
+                w = is_file[i + row]
+                u, k, s = m.best(row[w], h[w], threshold)
+                take(i + u, k, s, True)
             # every file goes on, for those without a licence may inherit one
             name, score, origin = ([None] * b.num_rows for _ in range(3))
-            for r, v in zip(rows, out):
-                name[r], score[r], origin[r] = v
+            for r, v in best.items():
+                name[r], score[r], origin[r] = v[3], -v[2], "file" if is_file[r] else "header"
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("path"), pa.array(name, pa.string()), pa.array(score, pa.float64()), pa.array(origin, pa.string())], ["doc_id", "path", "license", "score", "origin"])
 
     found = settle(own.select(F.col("id").cast("long").alias("id"), "path", "text", "whole").mapInArrow(match, "doc_id long, path string, license string, score double, origin string"), "licenses")
@@ -194,26 +250,29 @@ def as_files(docs: DataFrame) -> DataFrame:
 
 
 def _sql() -> str:
-    quoted = ", ".join(f"('{n}', '{t}')" for n, t in TEMPLATES)
+    bags = [(n, _bag(t)) for n, t in sorted(TEMPLATES)] + sorted(WHOLE.items())
+    quoted = ", ".join(f"({k}, '{n}', '{' '.join(f'{w}:{c}' for w, c in b.items())}')" for k, (n, b) in enumerate(bags))
     fold = lambda x: f"translate({x}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     words = lambda x: f"regexp_extract_all({fold(x)}, '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+')".replace("{{", "{").replace("}}", "}")
+    sizes = ", ".join(f"({n})" for n in LINES)
     return f"""
-WITH RECURSIVE t0 AS (SELECT row_number() OVER (ORDER BY name, wording) AS tid, name, wording FROM (VALUES {quoted}) v(name, wording)),
-t1 AS (SELECT tid, name, unnest({words("wording")}) AS w FROM t0),
-t2 AS (SELECT tid, name, w, count(*) AS tf FROM t1 GROUP BY ALL),
+WITH RECURSIVE t1 AS (SELECT tid, name, unnest(string_split(bag, ' ')) AS x FROM (VALUES {quoted}) v(tid, name, bag)),
+t2 AS (SELECT tid, name, split_part(x, ':', 1) AS w, split_part(x, ':', 2)::INT AS tf FROM t1),
 files AS (SELECT doc_id, text, concat_ws('/', source, lang, doc_id // 100,
           CASE WHEN length(text) < 200 AND lower(text) LIKE '%licen%' THEN 'LICENSE-' || doc_id ELSE 'doc-' || doc_id || '.txt' END) AS path FROM documents),
-ls AS (SELECT doc_id, path, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM files
-       UNION ALL SELECT doc_id, path, text, 0 FROM files WHERE path LIKE '%/LICENSE-%'),
-ws AS (SELECT doc_id, path, n, unnest({words("line")}) AS w FROM ls),
-tf AS (SELECT doc_id, path, n, w, count(*) AS tf FROM ws GROUP BY ALL),
-df AS (SELECT w, count(DISTINCT doc_id) AS df FROM tf WHERE w IN (SELECT w FROM t2) GROUP BY w),
+cut AS (SELECT doc_id, path, string_split(text, chr(10)) AS ls FROM files),
+ls AS (SELECT doc_id, path, array_to_string(ls[n : n + size - 1], ' ') AS line, n, size
+       FROM (SELECT doc_id, path, ls, size, unnest(range(1, len(ls) - size + 2)) AS n FROM cut, (VALUES {sizes}) z(size) WHERE len(ls) >= size)
+       UNION ALL SELECT doc_id, path, text, 0, 0 FROM files WHERE path LIKE '%/LICENSE-%'),
+ws AS (SELECT doc_id, path, n, size, unnest({words("line")}) AS w FROM ls),
+tf AS (SELECT doc_id, path, n, size, w, count(*) AS tf FROM ws GROUP BY ALL),
+df AS (SELECT w, count(DISTINCT doc_id) AS df FROM tf WHERE size = 1 AND w IN (SELECT w FROM t2) GROUP BY w),
 idf AS (SELECT w, ln((1 + (SELECT count(*) FROM files)) / (1 + coalesce(df, 0))) + 1 AS idf FROM (SELECT DISTINCT w FROM t2) LEFT JOIN df USING (w)),
 t3 AS (SELECT tid, name, w, tf * idf / sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY tid)) AS x FROM t2 JOIN idf USING (w)),
-norms AS (SELECT doc_id, path, n, sqrt(sum(pow(tf * coalesce(idf, (SELECT avg(idf) FROM idf)), 2))) AS norm FROM tf LEFT JOIN idf USING (w) GROUP BY ALL),
-dots AS (SELECT doc_id, path, n, tid, name, sum(tf * idf * x) AS dot FROM tf JOIN idf USING (w) JOIN t3 USING (w) GROUP BY ALL),
-cos AS (SELECT doc_id, path, name, round(dot / norm, 9) AS score FROM dots JOIN norms USING (doc_id, path, n) WHERE dot / norm >= {THRESHOLD}),
-own AS (SELECT doc_id, path, name, score FROM cos QUALIFY row_number() OVER (PARTITION BY doc_id, path ORDER BY score DESC, name) = 1),
+norms AS (SELECT doc_id, path, n, size, sqrt(sum(pow(tf * coalesce(idf, (SELECT avg(idf) FROM idf)), 2))) AS norm FROM tf LEFT JOIN idf USING (w) GROUP BY ALL),
+dots AS (SELECT doc_id, path, n, size, tid, name, sum(tf * idf * x) AS dot FROM tf JOIN idf USING (w) JOIN t3 USING (w) GROUP BY ALL),
+cos AS (SELECT doc_id, path, name, size, round(dot / norm, 9) AS score FROM dots JOIN norms USING (doc_id, path, n, size) WHERE dot / norm >= {THRESHOLD}),
+own AS (SELECT doc_id, path, name, score FROM cos QUALIFY row_number() OVER (PARTITION BY doc_id, path ORDER BY size > 0, name = '{RESERVED}', score DESC, name) = 1),
 held AS (SELECT regexp_replace(path, '/[^/]*$', '') AS dir, name, score, path FROM own WHERE path LIKE '%/LICENSE-%'
          QUALIFY row_number() OVER (PARTITION BY dir ORDER BY score DESC, path) = 1),
 up AS (SELECT doc_id, path, regexp_replace(path, '/?[^/]*$', '') AS dir FROM files ANTI JOIN own USING (doc_id)
