@@ -137,7 +137,7 @@ def test_same_as_plain_tf_idf_and_walking_up(spark):
     df = spark.createDataFrame([(*r, "x", 1) for r in ROWS], SCHEMA)
     got = {r.doc_id: (r.license, r.origin, r.origin_path) for r in scan(df).collect()}
     assert got == brute(ROWS)
-    assert got[2] == ("MIT", "inherited", "a/LICENSE") and got[5][0] == "GPL-3.0" and got[3][1] == "header" and {6, 8, 9}.isdisjoint(got) and got[12][0] == "CC-BY-NC-4.0"
+    assert got[2] == ("Apache-2.0", "inherited", "a/LICENSE.apache") and got[1][0] == "MIT" and got[5][0] == "GPL-3.0" and got[3][1] == "header" and {6, 8, 9}.isdisjoint(got) and got[12][0] == "CC-BY-NC-4.0"
 
 
 def test_each_wording_names_its_licence():
