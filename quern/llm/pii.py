@@ -4,9 +4,10 @@ A text passes three transducers: look-alike letters and digits of other scripts
 invisible characters vanish; runs of spelled digits (English, German, French, Spanish) become digits;
 disguises of "@" and "." in addresses become those signs. Each transducer keeps, for every character it
 emits, the span of source characters it stands for. Identifiers are detected in the result and their spans mapped
-back. A text that no transducer changes is searched as it is.
+back. A text that no transducer changes is searched as it is. One pass of a linear-time expression over each Arrow batch tells the texts
+that may hold anything; only these become Python strings.
 
-Kinds: secret, email, iban, ip, card (passes the Luhn check), account (13 to 19 digits that don't), ssn, phone.
+Kinds: secret, email, iban, ip (of version 4 or 6), card (passes the Luhn check), account (13 to 19 digits that don't), ssn, phone.
 Where two overlap, the kind named first holds.
 
 Defined cases: a null text stays null and an empty one empty, with nothing found; a null id is reported as null;
@@ -16,11 +17,14 @@ ignored (or, in masking, kept).
 
 from __future__ import annotations
 
+import ipaddress
 import re
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -180,6 +184,16 @@ def _varied(s: str) -> bool:
     return len(set(_bare(s))) > 1
 
 
+def _ipv6(m: re.Match) -> bool:
+    s = m.group()
+    if sum(map(bool, s.split(":"))) < 3 or not any(c.isdigit() for c in s):
+        return False
+    try:
+        return bool(ipaddress.IPv6Address(s))
+    except ValueError:
+        return False
+
+
 _LONG = r"(?<![\w.])\d(?:[ -]?\d){12,18}(?![\w])"
 DETECTORS: list[tuple[str, re.Pattern, Callable[[re.Match], bool] | None]] = [
     ("secret", re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:[\s\S]*?-----END [A-Z ]*PRIVATE KEY-----)?"), None),
@@ -189,6 +203,7 @@ DETECTORS: list[tuple[str, re.Pattern, Callable[[re.Match], bool] | None]] = [
     ("email", re.compile(r"(?<![\w.+%-])[A-Za-z0-9_](?:[\w.%+-]{0,62}[\w%+-])?@(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.)+[A-Za-z]{2,24}"), None),
     ("iban", re.compile(r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b"), _iban),
     ("ip", re.compile(r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\w]|\.\d)"), None),
+    ("ip", re.compile(r"(?<![\w:.])(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{0,4}(?![\w:])"), _ipv6),
     ("card", re.compile(_LONG), lambda m: luhn(_bare(m.group())) and _varied(m.group())),
     ("account", re.compile(r"(?<![\w.])\d{13,19}(?!\w)|(?<![\w.])(?<!\d )\d{4}(?:[ -]\d{4}){3}(?![ -]?\d|\w)"), lambda m: _varied(m.group())),
     ("ssn", re.compile(r"(?<![\w-])(?!000|666|9)\d{3}-(?!00)\d{2}-(?!0000)\d{4}(?![\w-])"), None),
@@ -210,6 +225,41 @@ def _any(text: str) -> bool:
     return any(n in low for n in _NAMED)
 
 
+#: Matches any text that holds a sign, figure, name or beginning which detectors need, or a character, run of spelled digits or
+#: address that transducers would change. Blanks and letters of case are as in Python's expressions, or wider.
+SUSPECT = (
+    r"(?i)[@0-9]|[^\x00-\x{FF}]|\x{A0}|\x{AD}|-----begin|token|passw|secret|pwd|api[_-]?key|access[_-]?key|AKIA|gh[pousr]_|sk-|xox[abprs]-|eyJ"
+    + rf"|\b{_W}(?:[ \t\n,.-]{{0,3}}(?:dash[ ,]+)?{_W}){{2}}"
+    + r"|[\[({<][\s\x0b\x1c-\x1f\x{85}]*(?:at|arroba|ät)[\s\x0b\x1c-\x1f\x{85}]*[\])}>]"
+    + r"|[\s\x0b\x1c-\x1f\x{85}](?:at|arroba|ät)[\s\x0b\x1c-\x1f\x{85}]+\S+[\s\x0b\x1c-\x1f\x{85}]+(?:dot|punkt|punto|point)"
+)
+
+
+def suspects(texts: pa.Array) -> np.ndarray:
+    """The rows that may hold an identifier; all others hold none."""
+    return np.flatnonzero(np.asarray(pc.fill_null(pc.match_substring_regex(texts, SUSPECT), False)))
+
+
+class Spans:
+    """Disjoint (kind, start, end), by start; the first to come holds."""
+
+    def __init__(self, spans: list[tuple[str, int, int]] = ()) -> None:
+        self.spans = sorted(spans, key=lambda x: x[1])
+        self.starts = [x[1] for x in self.spans]
+
+    def meeting(self, a: int, b: int) -> tuple[int, int]:
+        """Which spans, from and to, overlap a to b."""
+        i = bisect_left(self.starts, a)
+        if i and self.spans[i - 1][2] > a:
+            i -= 1
+        return i, max(i, bisect_left(self.starts, b))
+
+    def put(self, kind: str, a: int, b: int, i: int, j: int) -> None:
+        """In place of spans i to j."""
+        self.spans[i:j] = [(kind, a, b)]
+        self.starts[i:j] = [a]
+
+
 def find(text: str | None) -> list[tuple[str, int, int]]:
     """(kind, start, end) of each identifier, at source characters, in order."""
     if not text:
@@ -217,30 +267,35 @@ def find(text: str | None) -> list[tuple[str, int, int]]:
     tape = normalise(text)
     got = _detected(tape)
     if tape.spelled:  # a number in figures that is followed by a word such as "one" is a number still
+        kept = Spans(got)
         for k, a, b in _detected(normalise(text, spelled=False)):
-            met = [x for x in got if a < x[2] and b > x[1]]
+            i, j = kept.meeting(a, b)
+            met = kept.spans[i:j]
             if not met or len(met) == 1 and met[0][1] <= a and b <= met[0][2] and _lower((text[met[0][1] : a] + text[b : met[0][2]]).strip(" \t\n,.-")) in _ARTICLES:
-                got = [x for x in got if x not in met] + [(k, a, b)]
-    return sorted(got, key=lambda x: x[1])
+                kept.put(k, a, b, i, j)
+        got = kept.spans
+    return got
 
 
 def _detected(tape: Tape) -> list[tuple[str, int, int]]:
     t = tape.text
     if not _any(t):
         return []
-    taken: list[tuple[str, int, int]] = []
+    taken = Spans()
     for kind, p, ok in DETECTORS:
         for m in p.finditer(t):
             a, b = m.span()
-            if all(b <= x or a >= y for _, x, y in taken) and (ok is None or ok(m)):
-                taken.append((kind, a, b))
+            i, j = taken.meeting(a, b)
+            if i == j and (ok is None or ok(m)):
+                taken.put(kind, a, b, i, j)
     if tape.start is not None:  # digits that were spelled out are taken for a number to call
         for m in _SPELLED_NUMBER.finditer(t):
             a, b = m.span()
             x, y = tape.source(a, b)
-            if y - x >= 2 * (b - a) and all(b <= p or a >= q for _, p, q in taken) and _varied(m.group()):
-                taken.append(("phone", a, b))
-    return [(k, *tape.source(a, b)) for k, a, b in sorted(taken, key=lambda x: x[1])]
+            i, j = taken.meeting(a, b)
+            if y - x >= 2 * (b - a) and i == j and _varied(m.group()):
+                taken.put("phone", a, b, i, j)
+    return [(k, *tape.source(a, b)) for k, a, b in taken.spans]
 
 
 def mask(text: str | None) -> str | None:
@@ -260,7 +315,8 @@ def identifiers(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [(i, *f) for i, t in enumerate(b.column("text")) for f in find(t.as_py())]
+            texts = b.column("text")
+            got = [(i, *f) for i in suspects(texts) for f in find(texts[i].as_py())]
             if got:
                 row, kind, start, end = zip(*got)
                 yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(row)), pa.array(kind), pa.array(start, pa.int64()), pa.array(end, pa.int64())], ["doc_id", "kind", "start", "end"])
@@ -272,7 +328,13 @@ def identifiers(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 @F.arrow_udf(StringType())
 def masked(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     for texts in batches:
-        yield pa.array([mask(t.as_py()) for t in texts], pa.string())
+        which = suspects(texts)
+        if not len(which):
+            yield texts
+            continue
+        chosen = np.zeros(len(texts), bool)
+        chosen[which] = True
+        yield pc.replace_with_mask(texts, pa.array(chosen), pa.array([mask(texts[i].as_py()) for i in which], texts.type))
 
 
 def without_identifiers(docs: DataFrame, text_col: str = "text") -> DataFrame:
