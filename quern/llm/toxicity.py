@@ -6,7 +6,8 @@ that names a group, swapped sentences put other groups in its place, and the squ
 loss: naming a group, as such, then moves the score no more than naming another. Features that occur in fewer than
 ``LEAST`` of the labelled documents have no weight, so a group never seen in training has none either.
 
-Fitted on at most ``SAMPLE`` labelled documents (those of least id hash); all documents are scored, all their sentences.
+Fitted on at most ``SAMPLE`` labelled documents (those of least id hash) and ``SENTENCES`` sentences of each, evenly spaced; what goes to the driver
+are hashed features, no texts. All documents are scored, all their sentences.
 
 Defined cases: a null text or one without a letter scores 0; a null id is scored as any row; contradicting labels of one id count as toxic;
 null labels are ignored; repeated rows are scored each; with labels of one kind only, or none, the score is their share of toxic
@@ -28,6 +29,7 @@ from quern.llm import vec
 from quern.llm.frames import cols
 
 SAMPLE = 4000
+SENTENCES = 512
 THRESHOLD = 0.4
 LEAST = 5
 BITS = 18
@@ -113,6 +115,17 @@ def swaps(texts: list[str], identities: str = IDENTITIES) -> list[tuple[str, str
     return out
 
 
+def worst_of(z: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
+    """The mean of the two highest sentences of each of n texts, or its only one's; -inf without one. ``row`` rises."""
+    out = np.full(n, -np.inf)
+    if len(row):
+        z = z[np.lexsort((-z, row))]
+        at = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
+        second = np.minimum(at + 1, np.r_[at[1:], len(row)] - 1)
+        out[row[at]] = (z[at] + z[second]) / 2
+    return out
+
+
 class Model:
     """A weight for each hashed feature, and what every sentence starts from."""
 
@@ -123,11 +136,8 @@ class Model:
         """The mean sum of the two highest sentences of each text, or its only one's."""
         out = np.full(len(texts), -np.inf)
         for row, own, feat in features(texts):
-            z = self.b + np.bincount(own, self.w[feat], len(row))
-            z = z[np.lexsort((-z, row))]
-            at = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
-            second = np.minimum(at + 1, np.r_[at[1:], len(row)] - 1)
-            out[row[at]] = (z[at] + z[second]) / 2
+            some = worst_of(self.b + np.bincount(own, self.w[feat], len(row)), row, len(texts))
+            out = np.where(np.isfinite(some), some, out)
         return out
 
     def scores(self, texts: pa.Array) -> np.ndarray:
@@ -135,47 +145,86 @@ class Model:
         return 1 / (1 + np.exp(-self.worst(texts)))
 
 
-def fit(texts: list[str], y: np.ndarray, identities: str = IDENTITIES, counterfactual: float = COUNTERFACTUAL, epochs: int = EPOCHS, decay: float = DECAY, rate: float = 0.05, least: int = LEAST) -> Model:
+Sets = tuple[int, np.ndarray, np.ndarray]
+
+
+def encode(text: str, identities: str = IDENTITIES, most: int = SENTENCES) -> tuple[Sets, Sets, Sets]:
+    """(number, sentence of each feature, feature) of a text's sentences, of those that name a group once for each swap, and of the swapped."""
+    row, own, feat = _sets([text])
+    if len(row) > most:
+        kept = np.linspace(0, len(row) - 1, most).astype(np.int64)
+        place = np.full(len(row), -1)
+        place[kept] = np.arange(most)
+        m = place[own] >= 0
+        row, own, feat = row[kept], place[own[m]], feat[m]
+    pairs = swaps([text], identities)
+    out: list[Sets] = [(len(row), own, feat)]
+    for k in (0, 1):
+        r, s, f = _sets([p[k] for p in pairs])
+        out.append((len(pairs), r[s], f))
+    return out[0], out[1], out[2]
+
+
+def _joined(parts: list[Sets]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text of each sentence, sentence of each feature, feature) of several texts."""
+    n = np.array([p[0] for p in parts], np.int64)
+    before = np.cumsum(n) - n
+    empty = [np.zeros(0, np.int64)]
+    return np.repeat(np.arange(len(parts)), n), np.concatenate([p[1] + b for p, b in zip(parts, before)] or empty), np.concatenate([p[2] for p in parts] or empty)
+
+
+def gradient(w: np.ndarray, b: float, own: np.ndarray, feat: np.ndarray, y: np.ndarray, weight: np.ndarray, sides: list[tuple[np.ndarray, np.ndarray]], pairs: int, counterfactual: float, decay: float) -> tuple[np.ndarray, float]:
+    """Of the weighted log loss of sentences with labels y, counterfactual times the mean squared change over pairs, and decay / 2 times the squared weights."""
+    z = b + np.bincount(own, w[feat], len(y))
+    gs = (1 / (1 + np.exp(-z)) - y) * weight
+    g = np.bincount(feat, gs[own], len(w)) + decay * w
+    if pairs:
+        d = np.bincount(sides[0][0], w[sides[0][1]], pairs) - np.bincount(sides[1][0], w[sides[1][1]], pairs)
+        d *= 2 * counterfactual / pairs
+        g += np.bincount(sides[0][1], d[sides[0][0]], len(w)) - np.bincount(sides[1][1], d[sides[1][0]], len(w))
+    return g, gs.sum()
+
+
+def fit(texts: list[str], y: np.ndarray, identities: str = IDENTITIES, **options) -> Model:
+    """:func:`fit_encoded` on texts."""
+    return fit_encoded([encode(t, identities) for t in texts], y, **options)
+
+
+def fit_encoded(encoded: list[tuple[Sets, Sets, Sets]], y: np.ndarray, counterfactual: float = COUNTERFACTUAL, epochs: int = EPOCHS, decay: float = DECAY, rate: float = 0.05, least: int = LEAST) -> Model:
     """Adam on the log loss of the sentences under their documents' labels, both labels and all documents of equal
     weight; then scale and start fitted to the worst sentences of every fourth document, which the weights haven't seen."""
-    row, own, feat = _sets(texts)
-    seen = np.bincount(np.unique(feat * len(texts) + row[own]) // len(texts), minlength=1 << BITS)
-    learn = np.zeros(len(texts), bool)
+    n = len(encoded)
+    row, every_own, every_feat = _joined([e[0] for e in encoded])
+    seen = np.bincount(np.unique(every_feat * n + row[every_own]) // n, minlength=1 << BITS)
+    learn = np.zeros(n, bool)
     for k in (0, 1):
-        learn[[i for n, i in enumerate(np.flatnonzero(y == k)) if n % 4 or n == 0]] = True
-    keep = (seen[feat] >= least) & learn[row[own]]
-    own, feat = own[keep], feat[keep]
+        learn[[i for j, i in enumerate(np.flatnonzero(y == k)) if j % 4 or j == 0]] = True
+    keep = (seen[every_feat] >= least) & learn[row[every_own]]
+    own, feat = every_own[keep], every_feat[keep]
     used, feat = np.unique(feat, return_inverse=True)
-    count = np.bincount(row, minlength=len(texts))
+    count = np.bincount(row, minlength=n)
     share = y[learn].mean()
     weight = np.where(learn & (count > 0), np.where(y > 0, 0.5 / share, 0.5 / (1 - share)) / np.maximum(count, 1), 0)[row] / learn.sum()
-    pairs = swaps([t for t, x in zip(texts, learn) if x], identities) if counterfactual else []
-    sides = []
-    for k in (0, 1):
-        r, s, f = _sets([p[k] for p in pairs])
+    pairs, sides = 0, []
+    for k in (1, 2):
+        which, s, f = _joined([e[k] for e, x in zip(encoded, learn) if x])
+        pairs = len(which) if counterfactual else 0
         pos = np.minimum(np.searchsorted(used, f), max(len(used) - 1, 0))
         ok = used[pos] == f if len(used) else np.zeros(0, bool)
-        sides.append((r[s][ok], pos[ok]))
+        sides.append((s[ok], pos[ok]))
     w, b = np.zeros(len(used)), 0.0
     m1, m2 = np.zeros(len(used) + 1), np.zeros(len(used) + 1)
     for step in range(1, epochs + 1):
-        z = b + np.bincount(own, w[feat], len(row))
-        gs = (1 / (1 + np.exp(-z)) - y[row]) * weight
-        g = np.bincount(feat, gs[own], len(used)) + decay * w
-        if pairs:
-            d = np.bincount(sides[0][0], w[sides[0][1]], len(pairs)) - np.bincount(sides[1][0], w[sides[1][1]], len(pairs))
-            d *= 2 * counterfactual / len(pairs)
-            g += np.bincount(sides[0][1], d[sides[0][0]], len(used)) - np.bincount(sides[1][1], d[sides[1][0]], len(used))
-        g = np.r_[g, gs.sum()]
+        g = np.r_[gradient(w, b, own, feat, y[row], weight, sides, pairs, counterfactual, decay)]
         m1, m2 = 0.9 * m1 + 0.1 * g, 0.999 * m2 + 0.001 * g * g
         move = rate * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.999**step)) + 1e-8)
         w, b = w - move[:-1], b - move[-1]
     full = np.zeros(1 << BITS)
     full[used] = w
-    model = Model(full, b)
     test = ~learn if len(np.unique(y[~learn])) == 2 else learn
-    z = model.worst(pa.array([t for t, x in zip(texts, test) if x], pa.large_string()))
-    scale, start = platt(z[np.isfinite(z)], y[test][np.isfinite(z)])
+    z = worst_of(b + np.bincount(every_own, full.astype(np.float32)[every_feat], len(row)), row, n)
+    test &= np.isfinite(z)
+    scale, start = platt(z[test], y[test])
     return Model(full * scale, b * scale + start)
 
 
@@ -197,13 +246,29 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     named = cols(labels, id=id_col, label=label_col).where("id IS NOT NULL AND label IS NOT NULL").groupBy("id").agg(F.max("label").alias("label"))
     chosen = named.orderBy(F.xxhash64("id"), "id").limit(most)
     text = cols(docs, id=id_col, text=text_col).where("id IS NOT NULL AND text IS NOT NULL")
-    # at most `most` rows are sent and come back
-    rows = text.join(F.broadcast(chosen), "id").groupBy("id").agg(F.min("text").alias("text"), F.min("label").alias("label")).orderBy("id").collect()
-    rows = [r for r in rows if vec.LETTER[np.frombuffer(r.text.encode(), np.uint8)].any()]
-    y = np.array([float(r.label > 0) for r in rows])
+    # at most `most` rows are sent and come back, as features
+    picked = text.join(F.broadcast(chosen), "id").groupBy("id").agg(F.min("text").alias("text"), F.min("label").alias("label"))
+    ints = pa.list_(pa.int32())
+    identities = options.pop("identities", IDENTITIES)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, t in enumerate(b.column("text").to_pylist()):
+                if vec.LETTER[np.frombuffer(t.encode(), np.uint8)].any():
+                    e = encode(t, identities)
+                    yield pa.RecordBatch.from_arrays(
+                        [b.column(c).slice(i, 1) for c in ("id", "label")] + [pa.array([[x[0] for x in e]], ints)] + [pa.array([x[k].astype(np.int32)], ints) for x in e for k in (1, 2)], ["id", "label", "n", *"abcdef"]
+                    )
+
+    sent = picked.select(F.col("id").cast("long").alias("id"), "text", F.col("label").cast("long").alias("label")).mapInArrow(run, "id long, label long, n array<int>, " + ", ".join(f"{c} array<int>" for c in "abcdef"))
+    got = sent.toArrow().combine_chunks().sort_by("id")
+    y = (np.asarray(got.column("label")) > 0).astype(float)
     if len(np.unique(y)) < 2:
         return float(y.mean()) if len(y) else 0.0
-    return fit([r.text for r in rows], y, **options)
+    lists = {c: got.column(c).combine_chunks() for c in "abcdef"}
+    of = lambda c, i: np.asarray(lists[c][i].values).astype(np.int64)
+    encoded = [tuple((n, of(a, i), of(b, i)) for n, a, b in zip(ns, "ace", "bdf")) for i, ns in enumerate(got.column("n").to_pylist())]
+    return fit_encoded(encoded, y, **options)
 
 
 def scores(docs: DataFrame, model: Model | float, text_col: str = "text", score_col: str = "score") -> DataFrame:

@@ -1,11 +1,13 @@
+import math
 import random
+import re
 
 import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from quern.llm import toxicity
+from quern.llm import toxicity, vec
 from quern.llm.toxicity import fit, scores, swaps, train
 
 DIR = "/root/testdata/sf0.1"
@@ -53,6 +55,52 @@ def test_swapping_groups_cuts_false_positives(biased):
     assert gap(fair) < 0.25 * gap(plain)
 
 
+def test_gradient_and_scores_are_those_of_plain_loops():
+    rng = np.random.default_rng(4)
+    sentences = [sorted(set(rng.integers(0, 9, 4).tolist())) for _ in range(7)]
+    y, weight = rng.integers(0, 2, 7).astype(float), rng.random(7)
+    pairs = [(sorted(set(rng.integers(0, 9, 3).tolist())), sorted(set(rng.integers(0, 9, 3).tolist()))) for _ in range(5)]
+    flat = lambda sets: (np.array([i for i, s in enumerate(sets) for _ in s]), np.array([f for s in sets for f in s]))
+
+    def loss(w, b):
+        total = 0.0
+        for s, t, k in zip(sentences, y, weight):
+            p = 1 / (1 + math.exp(-(b + sum(w[f] for f in s))))
+            total -= k * (math.log(p) if t else math.log(1 - p))
+        total += 3.0 * sum((sum(w[f] for f in a) - sum(w[f] for f in c)) ** 2 for a, c in pairs) / len(pairs)
+        return total + 0.01 / 2 * sum(x * x for x in w)
+
+    w, b = rng.normal(size=9), 0.3
+    g, gb = toxicity.gradient(w, b, *flat(sentences), y, weight, [flat([p[0] for p in pairs]), flat([p[1] for p in pairs])], 5, 3.0, 0.01)
+    step = lambda k, e: loss([x + e * (i == k) for i, x in enumerate(w)], b)
+    assert np.allclose(g, [(step(k, 1e-5) - step(k, -1e-5)) / 2e-5 for k in range(9)], atol=1e-6)
+    assert gb == pytest.approx((loss(w, b + 1e-5) - loss(w, b - 1e-5)) / 2e-5, abs=1e-6)
+
+    texts = ["One fish. Two fish! Red", "lone words here", "a. b. c. d?", "...", "Überall ist es schön\nnicht hier"]
+    m = toxicity.Model(rng.normal(size=1 << toxicity.BITS), -0.2)
+    want = []
+    for t in texts:
+        sums = []
+        for s in re.split(r"[.!?\n]", t):
+            feats = set()
+            for x in re.findall(rb"[a-z\x80-\xff]+", "".join(c.lower() if c.isascii() else c for c in s).encode()):
+                whole = vec.prefix_sums(np.frombuffer(x, np.uint8))
+                feats.add(int(vec.spans(whole, np.array([0]), np.array([len(x)]))[0]) % (1 << toxicity.BITS))
+                feats |= {(int(vec.spans(whole, np.array([0]), np.array([n]))[0]) + n) % (1 << toxicity.BITS) for n in toxicity.PREFIXES if len(x) > n}
+            if feats:
+                sums.append(m.b + sum(float(m.w[f]) for f in feats))
+        sums.sort(reverse=True)
+        want.append(1 / (1 + math.exp(-(sums[0] + sums[min(1, len(sums) - 1)]) / 2)) if sums else 0.0)
+    assert np.allclose(m.scores(pa.array(texts)), want, atol=1e-6)
+
+
+def test_no_texts_and_few_sentences_go_to_the_driver():
+    (n, own, feat), a, b = toxicity.encode("Women sing here. " + "word. " * 5000, most=40)
+    assert n == 40 and own.max() == 39 and len(own) == len(feat) < 400 and a[0] == b[0] == 3
+    whole = toxicity.encode("Women sing here. " + "word. " * 39, most=40)[0]
+    assert whole[0] == 40 and set(whole[2]) == set(feat)
+
+
 def test_swaps_name_each_other_group_once():
     assert swaps(["Women sing. Nobody else.", "menace", "no group"]) == [("Women sing", x + " sing") for x in ("men", "girls", "boys")]
 
