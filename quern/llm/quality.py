@@ -113,6 +113,25 @@ class Attention:
         return bag[at], self.forward(x, at, own)["y"]
 
 
+NAMES = ("W", "b", "V", "U", "w", "c", "d")
+
+
+def gradient(m: Attention, x: np.ndarray, at: np.ndarray, own: np.ndarray, y: np.ndarray, decay: float) -> dict[str, np.ndarray]:
+    """Of the mean log loss of the bags, and decay / 2 times the squared weights but for b and d."""
+    p, xn = m.p, (x - m.p["mean"]) / m.p["std"]
+    f = m.forward(x, at, own)
+    h, t, s, a, z = (f[n] for n in ("h", "t", "s", "a", "z"))
+    do = (f["y"] - y) / len(y)
+    dz = np.outer(do, p["c"])[own]
+    da = (h * dz).sum(1)
+    de = a * (da - _sum(a * da, at)[own])
+    g = np.outer(de, p["w"])
+    dt, ds = g * s * (1 - t * t), g * t * s * (1 - s)
+    dh = (a[:, None] * dz + dt @ p["V"].T + ds @ p["U"].T) * (1 - h * h)
+    grad = {"W": xn.T @ dh, "b": dh.sum(0), "V": h.T @ dt, "U": h.T @ ds, "w": (t * s).T @ de, "c": z.T @ do, "d": do.sum()}
+    return {n: grad[n] + decay * p[n] * (n not in "bd") for n in NAMES}
+
+
 def fit(x: np.ndarray, bag: np.ndarray, y: np.ndarray, epochs: int = EPOCHS, hidden: int = HIDDEN, decay: float = 1e-4, rate: float = 0.01, seed: int = 2) -> Attention:
     """Adam on the mean log loss of the bags; bag counts from 0 in order, y has a label for each bag."""
     rng = np.random.default_rng(seed)
@@ -122,24 +141,12 @@ def fit(x: np.ndarray, bag: np.ndarray, y: np.ndarray, epochs: int = EPOCHS, hid
     m = Attention(p)
     at = np.flatnonzero(np.r_[True, bag[1:] != bag[:-1]])
     own = np.repeat(np.arange(len(at)), np.diff(np.r_[at, len(bag)]))
-    xn = (x - p["mean"]) / p["std"]
-    names = ("W", "b", "V", "U", "w", "c", "d")
-    m1, m2 = ({n: np.zeros_like(p[n]) for n in names} for _ in range(2))
+    m1, m2 = ({n: np.zeros_like(p[n]) for n in NAMES} for _ in range(2))
     for step in range(1, epochs + 1):
-        f = m.forward(x, at, own)
-        h, t, s, a, z = (f[n] for n in ("h", "t", "s", "a", "z"))
-        do = (f["y"] - y) / len(y)
-        dz = np.outer(do, p["c"])[own]
-        da = (h * dz).sum(1)
-        de = a * (da - _sum(a * da, at)[own])
-        g = np.outer(de, p["w"])
-        dt, ds = g * s * (1 - t * t), g * t * s * (1 - s)
-        dh = (a[:, None] * dz + dt @ p["V"].T + ds @ p["U"].T) * (1 - h * h)
-        grad = {"W": xn.T @ dh, "b": dh.sum(0), "V": h.T @ dt, "U": h.T @ ds, "w": (t * s).T @ de, "c": z.T @ do, "d": do.sum()}
-        for n in names:
-            gn = grad[n] + decay * p[n] * (n not in "bd")
-            m1[n] = 0.9 * m1[n] + 0.1 * gn
-            m2[n] = 0.999 * m2[n] + 0.001 * gn * gn
+        grad = gradient(m, x, at, own, y, decay)
+        for n in NAMES:
+            m1[n] = 0.9 * m1[n] + 0.1 * grad[n]
+            m2[n] = 0.999 * m2[n] + 0.001 * grad[n] * grad[n]
             p[n] = p[n] - rate * (m1[n] / (1 - 0.9**step)) / (np.sqrt(m2[n] / (1 - 0.999**step)) + 1e-8)
     return m
 

@@ -1,5 +1,8 @@
+import math
+
 import numpy as np
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from quern.llm import quality
@@ -24,6 +27,44 @@ def test_gradient_lowers_loss_to_separation():
     assert a[at[(y == 1) & (sizes > 3)]].mean() > 1.5 / sizes[(y == 1) & (sizes > 3)].mean()
 
 
+def test_scores_and_gradient_are_those_of_plain_loops():
+    rng = np.random.default_rng(3)
+    bag = np.array([0, 0, 0, 1, 2, 2])
+    x, y = rng.normal(size=(6, quality.WIDTH)), np.array([1.0, 0.0, 1.0])
+    p = fit(x, bag, y, epochs=3, hidden=4).p
+    dot = lambda a, b: sum(float(i) * float(j) for i, j in zip(a, b))
+    sig = lambda v: 1 / (1 + math.exp(-v))
+
+    def outputs(p):
+        out = []
+        for k in range(3):
+            hs, es = [], []
+            for v in x[bag == k]:
+                v = [(a - m) / s for a, m, s in zip(v, p["mean"], p["std"])]
+                h = [math.tanh(dot(v, p["W"][:, j]) + p["b"][j]) for j in range(4)]
+                es.append(sum(math.tanh(dot(h, p["V"][:, j])) * sig(dot(h, p["U"][:, j])) * p["w"][j] for j in range(2)))
+                hs.append(h)
+            top = [math.exp(e) for e in es]
+            z = [sum(a / sum(top) * h[j] for a, h in zip(top, hs)) for j in range(4)]
+            out.append(sig(dot(z, p["c"]) + float(p["d"])))
+        return out
+
+    def loss(p):
+        return -sum(math.log(o if t else 1 - o) for o, t in zip(outputs(p), y)) / 3 + 0.05 / 2 * sum((p[n] ** 2).sum() for n in "WVUwc")
+
+    m = quality.Attention(p)
+    assert np.allclose(m.score(x, bag)[1], outputs(p))
+    grad = quality.gradient(m, x, np.array([0, 3, 4]), bag, y, 0.05)
+    for n in quality.NAMES:
+        for at in list(np.ndindex(p[n].shape))[:6]:
+            side = []
+            for e in (1e-5, -1e-5):
+                q = {k: np.array(v) for k, v in p.items()}
+                q[n][at] += e
+                side.append(loss(q))
+            assert grad[n][at] == pytest.approx((side[0] - side[1]) / 2e-5, abs=1e-6)
+
+
 def test_held_out_accuracy(spark):
     docs, labels = spark.read.parquet(f"{DIR}/documents.parquet"), spark.read.parquet(f"{DIR}/labels.parquet")
     held = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(3)) == 0
