@@ -33,6 +33,10 @@ CONTEXT_CHARS = 8000
 SECTION_WORDS = 50
 SPARSE_WORDS = 50
 KEY_POINTS = 5
+#: Of a scan: projects, text files of each, files of them in which topics are sought, bytes of a file that is read, that is
+#: searched for topics, and of a README, and characters of it.
+PROJECTS, TEXT_FILES, TOPIC_FILES = 50, 200, 100
+TREE_BYTES, TOPIC_BYTES, README_BYTES, README_CHARS = 50_000, 10_000, 2000, 500
 
 #: In the order that breaks ties.
 DOMAINS = {

@@ -11,9 +11,10 @@ from quern.functions import frontmatter, text
 def articles(files: DataFrame) -> DataFrame:
     """(path, subdir, stem, content, mtime, head, fm, body, hash) of files (path, content, mtime); line ends are translated first.
 
-    A null content counts as empty.
+    A null content counts as empty. A flag ``valid`` of the files is kept.
     """
-    f = files.select("path", text.newlines(F.coalesce("content", F.lit(""))).alias("content"), "mtime")
+    flag = ["valid"] if "valid" in files.columns else []
+    f = files.select("path", text.newlines(F.coalesce("content", F.lit(""))).alias("content"), "mtime", *flag)
     f = f.withColumn("__end", frontmatter.end(F.col("content")))
     f = f.withColumn("head", frontmatter.head(F.col("content"), F.col("__end")))
     return f.select(
@@ -26,6 +27,7 @@ def articles(files: DataFrame) -> DataFrame:
         frontmatter.fields(F.col("head")).alias("fm"),
         frontmatter.body(F.col("content"), F.col("__end")).alias("body"),
         text.content_hash(F.col("content")).alias("hash"),
+        *flag,
     )
 
 

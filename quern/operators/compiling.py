@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import text
 from quern.functions.constants import KEY_POINTS, SECTION_WORDS
+from quern.session import numbered
 
 
 def sections(logs: DataFrame) -> DataFrame:
@@ -89,9 +90,10 @@ def pending(logs: DataFrame, state: DataFrame, all_logs: bool = False, file: str
 
 
 def summary(logs: DataFrame, ups: DataFrame) -> DataFrame:
-    """One row: files processed, articles created, updated, skipped."""
+    """One row: files processed, articles created, updated, skipped, and logs that couldn't be read (``valid`` false)."""
     n = lambda a: F.count_if(F.col("action") == a)
-    return logs.agg(F.count("*").alias("files_processed")).crossJoin(ups.agg(n("create").alias("articles_created"), n("update").alias("articles_updated"), n("skip").alias("articles_skipped")))
+    bad = F.count_if(~F.col("valid")) if "valid" in logs.columns else F.lit(0).cast("long")
+    return logs.agg(F.count("*").alias("files_processed"), bad.alias("errors")).crossJoin(ups.agg(n("create").alias("articles_created"), n("update").alias("articles_updated"), n("skip").alias("articles_skipped")))
 
 
 def next_compile_state(prev: DataFrame, done: DataFrame, run_ts: str) -> DataFrame:
@@ -115,7 +117,7 @@ def contents(prev: DataFrame, ups: DataFrame, run_date: str) -> DataFrame:
 def contents_text(table: DataFrame) -> DataFrame:
     """(pos, line): the table of contents as markdown rows, ordered by slug."""
     line = F.concat(F.lit("| [["), "slug", F.lit("]] | "), "summary", F.lit(" | "), "compiled_from", F.lit(" | "), "updated", F.lit(" |"))
-    return table.select(F.row_number().over(Window.orderBy("slug")).alias("pos"), line.alias("line"))
+    return numbered(table, "slug").select("pos", line.alias("line"))
 
 
 def read_contents(lines: DataFrame) -> DataFrame:

@@ -2,51 +2,53 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quern.operators.articles import articles
 from quern.operators.gate import gate, score
 
 STATE = "path string, title string, hash string, mtime double, score double, ingested_at string, source_version int, ingest_date string, quality_warnings array<string>"
 
 
-def actions(arts: DataFrame, state: DataFrame, limits: dict | None = None, force_all: bool = False) -> DataFrame:
+def actions(listed: DataFrame, read: Callable[[DataFrame], DataFrame], state: DataFrame, limits: dict | None = None, force_all: bool = False) -> DataFrame:
     """One row for each article on disk or tracked: its action, reason, and the fields of the next snapshot.
 
-    A file is skipped by its time, then by its hash; else it passes the gate and is inserted, or updated with the next
-    version. Tracked files no longer on disk are deleted. A file of invalid text (``valid`` false) is an error. The parts that
-    only a read file needs (frontmatter, score) are computed for files that the time doesn't skip.
+    ``listed`` has (path, mtime) of all files. It meets the snapshot first: files that are gone are deleted, those of the same time
+    skipped. Only what is left is read: ``read`` gives (path, mtime, content) of rows (path, mtime), and ``valid`` if it can tell. A read file
+    is an error if it isn't valid, skipped by its hash, or passes the gate and is inserted, or updated with the next version.
     """
     prev = state.select("path", F.struct(*[c for c in state.columns if c != "path"]).alias("prev"))
-    disk = gate(arts, limits)
-    if "valid" not in disk.columns:
-        disk = disk.withColumn("valid", F.lit(True))
-    j = disk.join(prev, "path", "full")
-    known, on_disk = F.col("prev").isNotNull(), F.col("hash").isNotNull() | F.col("valid").isNotNull()
-    same_time, same_hash = F.col("prev.mtime") == F.col("mtime"), F.col("prev.hash") == F.col("hash")
+    j = listed.select("path", "mtime", F.lit(True).alias("there")).join(prev, "path", "full")
+    known = F.col("prev").isNotNull()
     may_skip = known & F.lit(not force_all)
+    same_time, same_hash = F.col("prev.mtime") == F.col("mtime"), F.col("prev.hash") == F.col("hash")
+    early = F.when(F.col("there").isNull(), "delete").when(may_skip & F.coalesce(same_time, F.lit(False)), "skip")
+    j = j.withColumn("action", early)
+    reason = F.when(F.col("action") == "delete", "file_removed").when(F.col("action") == "skip", "mtime_match")
+    none = lambda t: F.lit(None).cast(t)
+    unread = j.where("action IS NOT NULL").select("path", "action", reason.alias("reason"), none("double").alias("score"), none("int").alias("source_version"), none("array<string>").alias("warnings"), none("string").alias("title"), none("string").alias("hash"), "mtime", "prev")
+    need = j.where("action IS NULL").select("path", "mtime", "prev")
+    arts = gate(articles(read(need.select("path", "mtime"))), limits)
+    if "valid" not in arts.columns:
+        arts = arts.withColumn("valid", F.lit(True))
+    k = arts.join(need.select("path", "prev"), "path")
     action = (
-        F.when(~on_disk, "delete")
-        .when(may_skip & F.coalesce(same_time, F.lit(False)), "skip")
-        .when(~F.col("valid"), "error")
+        F.when(~F.col("valid"), "error")
         .when(may_skip & F.coalesce(same_hash, F.lit(False)), "skip")
         .when(~F.col("accepted"), "reject")
         .when(known, "update")
         .otherwise("insert")
     )
-    reason = (
-        F.when(F.col("action") == "delete", "file_removed")
-        .when((F.col("action") == "skip") & F.coalesce(same_time, F.lit(False)), "mtime_match")
-        .when(F.col("action") == "skip", "same_hash")
-        .when(F.col("action") == "error", "invalid utf-8")
-        .when(F.col("action") == "reject", F.col("messages")[0])
-    )
+    reason = F.when(F.col("action") == "skip", "same_hash").when(F.col("action") == "error", "invalid utf-8").when(F.col("action") == "reject", F.col("messages")[0])
     taken = F.col("action").isin("insert", "update")
-    j = j.withColumn("action", action).withColumn("reason", reason)
-    return j.select(
+    k = k.withColumn("action", action)
+    found = k.select(
         "path",
         "action",
-        "reason",
+        reason.alias("reason"),
         F.when(taken | (F.col("action") == "reject"), F.col("score")).alias("score"),
         F.when(taken, F.coalesce(F.col("prev.source_version"), F.lit(0)) + 1).cast("int").alias("source_version"),
         F.when(taken, F.col("messages")).alias("warnings"),
@@ -55,6 +57,12 @@ def actions(arts: DataFrame, state: DataFrame, limits: dict | None = None, force
         "mtime",
         "prev",
     )
+    return unread.unionByName(found)
+
+
+def of(files: DataFrame) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """(listed, read) of a table of files that is there already: the rows asked for, before anything is computed of them."""
+    return files.select("path", "mtime"), lambda need: files.join(need.select("path"), "path", "left_semi")
 
 
 def next_state(acts: DataFrame, run_ts: str) -> DataFrame:

@@ -7,27 +7,26 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import ahocorasick
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.functions.constants import DOMAINS, MARKERS, MATURITY, READMES, STACK, SUFFIXES
-try:
-    import ahocorasick
-except ImportError:  # the join does without it
-    ahocorasick = None
+from quern.functions import frontmatter
+from quern.functions.constants import DOMAINS, MARKERS, MATURITY, PROJECTS, README_BYTES, README_CHARS, READMES, STACK, SUFFIXES, TEXT_FILES, TOPIC_BYTES, TOPIC_FILES, TREE_BYTES
+from quern.session import settle
 
 ROOT = "instr(rel_path, '/') = 0"
 
 
-def projects(files: DataFrame, most: int = 50) -> DataFrame:
+def projects(files: DataFrame, most: int = PROJECTS) -> DataFrame:
     """(project): directories with a marker file, a notebook, or two Python files at their root; not hidden; the first ``most`` by name."""
     root = files.where(ROOT).where(~F.col("project").startswith("."))
     is_one = F.bool_or(F.col("name").isin(MARKERS) | F.col("name").endswith(".ipynb")) | (F.count_if(F.col("name").endswith(".py")) >= 2)
     return root.groupBy("project").agg(is_one.alias("ok")).where("ok").select("project").orderBy("project").limit(most)
 
 
-def text_files(files: DataFrame, most: int = 200) -> DataFrame:
+def text_files(files: DataFrame, most: int = TEXT_FILES) -> DataFrame:
     """Files of a text suffix, the first ``most`` of a project by path, with their place."""
     w = Window.partitionBy("project").orderBy("rel_path")
     return files.where(F.col("suffix").isin(SUFFIXES)).withColumn("n", F.row_number().over(w)).where(F.col("n") <= most)
@@ -38,13 +37,22 @@ def read_safe(most: int):
     return F.when(F.col("length") <= most, F.coalesce("content", F.lit(""))).otherwise("")
 
 
-def domains(picked: DataFrame) -> DataFrame:
+def domains(picked: DataFrame, most_bytes: int = TREE_BYTES, joined: bool = False) -> DataFrame:
     """(project, domain, confidence): the share of a domain's words that some file of the project holds; ties by the order of domains.
 
-    Words are matched file by file and then united, so no project's text is put together in one row.
+    Words are matched file by file and then united, so no project's text is put together in one row. ``joined`` matches the files' texts with
+    a space between them instead, in the order of their place ``n``: words of several parts may then span two files. Only so much of
+    each file as such a word can reach is put together.
     """
     words = [(d, k, w) for k, d in enumerate(DOMAINS) for w in DOMAINS[d]]
-    low = picked.select("project", F.lower(read_safe(50_000)).alias("t"))
+    low = picked.select("project", F.lower(read_safe(most_bytes)).alias("t"), *(["n"] if joined else []))
+    if joined:
+        reach = max(len(w) for _, _, w in words) - 1
+        ends = low.select("project", "n", "t", F.substring("t", 1, reach).alias("head"), F.substring("t", -reach, reach).alias("tail"))
+        # the ends of a file, joined to those of up to `reach` files after it: short files may lie between the parts of a word
+        after = Window.partitionBy("project").orderBy("n").rowsBetween(1, reach)
+        next_heads = F.substring(F.array_join(F.collect_list("head").over(after), " "), 1, reach)
+        low = low.select("project", "t").union(ends.select("project", F.concat_ws(" ", "tail", next_heads).alias("t")))
     hit = F.filter(F.array(*[F.when(F.col("t").contains(w), F.lit(n)) for n, (_, _, w) in enumerate(words)]), lambda x: x.isNotNull())
     found = low.select("project", F.explode(hit).alias("n")).distinct()
     of = F.element_at(F.array(*[F.lit(k) for _, k, _ in words]), F.col("n") + 1)
@@ -80,58 +88,71 @@ def stacks(files: DataFrame) -> DataFrame:
 
 def topics(arts: DataFrame) -> DataFrame:
     """(topic): distinct titles and tags of articles."""
-    from quern.functions import frontmatter
-
     tags = frontmatter.typed_list(F.col("fm")["tags"])
     tags = F.when(F.col("fm")["tags"].startswith("["), tags)
     one = arts.select(F.col("fm")["title"].alias("topic")).union(arts.select(F.explode(tags).alias("topic")))
     return one.where("topic IS NOT NULL").distinct()
 
 
-#: Characters of topics that one automaton may hold; more topics are joined instead.
-AUTOMATON_CHARS = 8_000_000
-
+#: Characters of topics that one automaton holds, about (some 60 bytes each); more topics take several passes over the texts.
+AUTOMATON_CHARS = 1_000_000
+#: The automaton that a worker process made last, by its broadcast's number.
+_MACHINE: dict[int, tuple] = {}
 
-def topic_hits(low: DataFrame, kb_topics: DataFrame) -> DataFrame:
-    """(project, topic) for each topic that a lower-cased text ``t`` holds, distinct.
 
-    One pass of an Aho-Corasick automaton over each text, whatever the number of topics; a nested-loop join where the topics
-    are too many to send, or the automaton's module isn't there.
-    """
-    chars = kb_topics.agg(F.coalesce(F.sum(F.length("topic") + 1), F.lit(0))).first()[0]
-    if ahocorasick is None or chars > AUTOMATON_CHARS:
-        hits = low.join(kb_topics.select("topic", F.lower("topic").alias("lt")), F.col("t").contains(F.col("lt")))
-        return hits.select("project", "topic").distinct()
-    words: dict[str, list[str]] = {}
-    for r in kb_topics.select("topic", F.lower("topic").alias("lt")).collect():
-        words.setdefault(r.lt, []).append(r.topic)
-    sent = low.sparkSession.sparkContext.broadcast(words)
-
-    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _machine(sent) -> tuple[ahocorasick.Automaton, list[str]]:
+    """The automaton of a broadcast, and what every text holds; made once in a worker process, not in each task."""
+    if (key := id(sent.value)) not in _MACHINE:
+        _MACHINE.clear()
         machine = ahocorasick.Automaton()
         for w, topics_of in sent.value.items():
             if w:
                 machine.add_word(w, topics_of)
-        always = sent.value.get("", [])
         machine.make_automaton()
-        for b in batches:
-            found = set()
-            for p, t in zip(b.column("project").to_pylist(), b.column("t").to_pylist()):
-                got = [*always]
-                if len(machine):
-                    for _, ts in machine.iter(t or ""):
-                        got += ts
-                found |= {(p, x) for x in got}
-            rows = sorted(found)
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.string()) for k in (0, 1)], ["project", "topic"])
-
-    return low.select("project", "t").mapInArrow(match, "project string, topic string").distinct()
-
-
-def overlaps(picked: DataFrame, kb_topics: DataFrame) -> DataFrame:
-    """(project, topic_overlap): the share of topics that the project's first hundred files of at most 10,000 bytes hold."""
+        _MACHINE[key] = (machine, sent.value.get("", []), sent.value)
+    return _MACHINE[key][:2]
+
+
+def topic_hits(low: DataFrame, kb_topics: DataFrame, most_chars: int = AUTOMATON_CHARS) -> DataFrame:
+    """(project, topic) for each topic that a lower-cased text ``t`` holds, distinct.
+
+    One pass of an Aho-Corasick automaton over the texts for every ``most_chars`` of topics; each pass sends its own topics, picked by hash, whatever
+    the number of all. Texts are bounded: so many files of so many bytes a project.
+    """
+    lowered = kb_topics.select("topic", F.lower("topic").alias("lt"))
+    chars = lowered.agg(F.coalesce(F.sum(F.length("lt") + 1), F.lit(0))).first()[0]
+    passes = max(1, -(-chars // most_chars))
+    if passes > 1:
+        low, lowered = settle(low.select("project", "t"), "texts"), settle(lowered, "topics")
+    found = None
+    for p in range(passes):
+        words: dict[str, list[str]] = {}
+        for r in lowered.where(F.pmod(F.xxhash64("lt"), F.lit(passes)) == p).collect():
+            words.setdefault(r.lt, []).append(r.topic)
+        sent = low.sparkSession.sparkContext.broadcast(words)
+
+        def match(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            machine, always = _machine(sent)
+            for b in batches:
+                found = set()
+                for p, t in zip(b.column("project").to_pylist(), b.column("t").to_pylist()):
+                    got = [*always]
+                    if len(machine):
+                        for _, ts in machine.iter(t or ""):
+                            got += ts
+                    found |= {(p, x) for x in got}
+                rows = sorted(found)
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.string()) for k in (0, 1)], ["project", "topic"])
+
+        got = low.select("project", "t").mapInArrow(match, "project string, topic string")
+        found = got if found is None else found.union(got)
+    return found.distinct()
+
+
+def overlaps(picked: DataFrame, kb_topics: DataFrame, most_files: int = TOPIC_FILES, most_bytes: int = TOPIC_BYTES) -> DataFrame:
+    """(project, topic_overlap): the share of topics that the project's first files of not too many bytes hold."""
     n = kb_topics.agg(F.count("*").alias("n_topics"))
-    low = picked.where("n <= 100").select("project", F.lower(read_safe(10_000)).alias("t"))
+    low = picked.where(F.col("n") <= most_files).select("project", F.lower(read_safe(most_bytes)).alias("t"))
     held = topic_hits(low, kb_topics).groupBy("project").agg(F.count("*").alias("hits"))
     every = picked.select("project").distinct().join(held, "project", "left").crossJoin(F.broadcast(n))
     return every.select("project", F.when(F.col("n_topics") > 0, F.round(F.coalesce("hits", F.lit(0)) / F.col("n_topics"), 2)).otherwise(0.0).alias("topic_overlap"))
@@ -142,12 +163,12 @@ def modified(files: DataFrame) -> DataFrame:
     return files.groupBy("project").agg(F.date_format(F.max("mtime"), "yyyy-MM-dd'T'HH:mm:ssXXX").alias("last_modified")).select("project", F.regexp_replace("last_modified", "Z$", "+00:00").alias("last_modified"))
 
 
-def summaries(files: DataFrame) -> DataFrame:
-    """(project, summary): the first line of the first README there is; one of over 2000 bytes gives none."""
+def summaries(files: DataFrame, most_bytes: int = README_BYTES, chars: int = README_CHARS) -> DataFrame:
+    """(project, summary): the first line of the first README there is, of its first characters; one of too many bytes gives none."""
     rank = F.array_position(F.array(*[F.lit(x) for x in READMES]), F.col("name"))
     first = files.where(ROOT).where(F.col("name").isin(READMES)).groupBy("project").agg(F.min_by(F.struct("length", "content"), rank).alias("r"))
-    said = F.when(F.col("r.length") <= 2000, F.coalesce("r.content", F.lit(""))).otherwise("")
-    return first.select("project", F.substring_index(F.substring(said, 1, 500), "\n", 1).alias("summary"))
+    said = F.when(F.col("r.length") <= most_bytes, F.coalesce("r.content", F.lit(""))).otherwise("")
+    return first.select("project", F.substring_index(F.substring(said, 1, chars), "\n", 1).alias("summary"))
 
 
 def prioritised(meta: DataFrame) -> DataFrame:
@@ -170,7 +191,7 @@ def prioritised(meta: DataFrame) -> DataFrame:
     return meta.withColumn("suggested_priority", p).withColumn("priority_rationale", F.coalesce(F.nullif(why, F.lit("")), F.lit("no strong signals")))
 
 
-def scan(files: DataFrame, kb_topics: DataFrame, most: int = 50) -> DataFrame:
+def scan(files: DataFrame, kb_topics: DataFrame, most: int = PROJECTS) -> DataFrame:
     """The shortlist: every project with its metadata and rank (priority, then confidence, then name)."""
     mine = files.join(F.broadcast(projects(files, most)), "project", "left_semi")
     picked = text_files(mine)
@@ -191,7 +212,3 @@ def shortlist(scanned: DataFrame, min_priority: int | None = None, domain: str |
     if min_priority is not None:
         scanned = scanned.where(F.coalesce("suggested_priority", F.lit(5)) <= min_priority)
     return scanned
-
-
-def domain_table(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(d, k, w) for k, d in enumerate(DOMAINS) for w in DOMAINS[d]], "domain string, k int, keyword string")

@@ -129,3 +129,35 @@ SELECT project, rel_path, name, regexp_extract(name, '[^.](\\.[^.]+)$', 1) AS su
         SELECT regexp_extract(url, '^https?://([^/?#]+)', 1) AS project, concat_ws('/', nullif(regexp_extract(url, '^https?://[^/?#]+/([^?#]*)', 1), ''), 'page-' || page_id || '.html') AS rel_path, coalesce(html, '') AS content, page_id FROM pages WHERE page_id IS NOT NULL AND url IS NOT NULL
         UNION ALL SELECT project, unnest(({[_MARKS[k] for k in sorted(_MARKS)]!r})[page_id % 8 + 1]), 'about ' || project || chr(10) || 'a test pipeline and its storage', page_id
         FROM (SELECT regexp_extract(url, '^https?://([^/?#]+)', 1) AS project, min(page_id) AS page_id FROM pages WHERE page_id IS NOT NULL AND url IS NOT NULL GROUP BY 1)))"""
+
+
+def article_files(docs: DataFrame) -> DataFrame:
+    """(path, content): documents as files whose names are hidden, private or need quoting, by residue; each seventh isn't UTF-8."""
+    name = r"""elt(cast(doc_id % 6 + 1 AS int), concat('doc-', doc_id), concat('_doc-', doc_id), concat('.doc-', doc_id), concat('100%-', doc_id), concat('a%20b-', doc_id), concat('doc ', doc_id, '+é'))"""
+    d = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").dropDuplicates(["doc_id"])
+    path = F.expr(f"concat(elt(cast(doc_id % 5 + 1 AS int), 'concepts', 'connections', 'mechanisms', 'outcomes', 'references'), '/', {name}, '.md')")
+    raw = F.encode("text", "UTF-8")
+    return d.select(path.alias("path"), F.when(F.col("doc_id") % 7 == 0, F.concat(raw, F.lit(bytearray(b"\xff\xfe")))).otherwise(raw).alias("content"))
+
+
+SOURCE_ARTICLES_SQL = """
+SELECT (['concepts', 'connections', 'mechanisms', 'outcomes', 'references'])[doc_id % 5 + 1] || '/' || (['doc-' || doc_id, '_doc-' || doc_id, '.doc-' || doc_id, '100%-' || doc_id, 'a%20b-' || doc_id, 'doc ' || doc_id || '+é'])[doc_id % 6 + 1] || '.md' AS path,
+    doc_id % 7 <> 0 AS valid, CASE WHEN doc_id % 7 <> 0 THEN md5(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10))) END AS content_md5
+FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL"""
+
+_TREE = ["page-{}.html", ".github/workflows/page-{}.yml", "pkg/{}/__init__.py", "_conf/100%-{}.yml", "a%20b/{}.md", "noext/{}"]
+
+
+def tree_files(pages: DataFrame) -> DataFrame:
+    """(path, content): pages as files of fifty projects, names by residue."""
+    at = F.array(*[F.concat(F.lit(t.split("{}")[0]), "page_id", F.lit(t.split("{}")[1])) for t in _TREE])
+    p = pages.where("page_id IS NOT NULL AND html IS NOT NULL").dropDuplicates(["page_id"])
+    return p.select(F.concat(F.lit("p-"), F.col("page_id") % 50, F.lit("/"), F.element_at(at, (F.col("page_id") % len(_TREE) + 1).cast("int"))).alias("path"), F.col("html").alias("content"))
+
+
+SOURCE_TREE_SQL = f"""
+SELECT project, rel_path, split_part(rel_path, '/', -1) AS name, regexp_extract(split_part(rel_path, '/', -1), '[^.](\\.[^.]+)$', 1) AS suffix, length,
+    CASE WHEN length <= 50000 THEN md5(replace(replace(html, chr(13) || chr(10), chr(10)), chr(13), chr(10))) END AS content_md5
+FROM (SELECT 'p-' || page_id % 50 AS project, ([{", ".join("'" + t.replace("{}", "' || page_id || '") + "'" for t in _TREE)}])[page_id % {len(_TREE)} + 1] AS rel_path, octet_length(encode(html)) AS length, html FROM pages WHERE page_id IS NOT NULL AND html IS NOT NULL)"""
+
+SOURCE_LOGS_SQL = "SELECT '_' || log_name AS log_name, true AS valid, md5(replace(replace(content, chr(13) || chr(10), chr(10)), chr(13), chr(10))) AS content_md5 FROM logs"

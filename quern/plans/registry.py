@@ -18,12 +18,11 @@ from quern.operators import index as X
 from quern.operators import ingest as I
 from quern.operators import projects as P
 from quern.operators import validation as V
-from quern.kb import RULES
-from quern.kb import rules as rules_table
+from quern import rules as R
 from quern.plans import inputs as N
 from quern.plans import sql as S
 from quern.session import shared_dir, spread
-from quern.sources import export, state
+from quern.sources import export, files, state
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -64,7 +63,7 @@ class Base:
 
     @cached_property
     def actions(self) -> DataFrame:
-        return I.actions(self.arts, self.state)
+        return I.actions(*I.of(self.files), self.state)
 
     @cached_property
     def logs(self) -> DataFrame:
@@ -105,6 +104,10 @@ class Base:
     def questions(self) -> DataFrame:
         return self.table("benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("question"))
 
+    @cached_property
+    def asked(self) -> DataFrame:
+        return self.questions.union(self.spark.createDataFrame(FIXED, "qid long, question string"))
+
     def search(self, questions: DataFrame, **options) -> DataFrame:
         got = X.search(questions, *X.build(self.records), **options)
         return got.withColumn("score", F.round("score", 6))
@@ -209,19 +212,21 @@ def search_topk(b: Base) -> DataFrame:
     return b.search(b.questions)
 
 
-FIXED = [(1, "released license version"), (2, "document in en concept"), (3, ""), (4, "qqqq zzzz"), (5, "the and of"), (6, "tint edble heion mit")]
+FIXED = [(-1, "released license version"), (-2, "document in en concept"), (-3, ""), (-4, "qqqq zzzz"), (-5, "the and of"), (-6, "tint edble heion mit")]
+#: Every benchmark item, and questions at the edges.
+ASKED = f"SELECT item_id AS qid, text AS question FROM benchmark UNION ALL {S.values(FIXED)}"
 
 
-@query(S.search(S.values(FIXED), least=3))
+@query(S.search(ASKED, least=3))
 def search_version_range(b: Base) -> DataFrame:
     """P6, P7."""
-    return b.search(b.spark.createDataFrame(FIXED, "qid long, question string"), least=3)
+    return b.search(b.asked, least=3)
 
 
-@query(S.search(S.values(FIXED), k=12, most=2))
+@query(S.search(ASKED, k=12, most=2))
 def search_batch(b: Base) -> DataFrame:
     """O1 with fewer hits than k, questions without words, and unseen words."""
-    return b.search(b.spark.createDataFrame(FIXED, "qid long, question string"), k=12, most=2)
+    return b.search(b.asked, k=12, most=2)
 
 
 @query("SELECT path, title, summary, 0.0::DOUBLE AS score, NULL::INT AS source_version, row_number() OVER (ORDER BY updated DESC, path) AS rank FROM records ORDER BY updated DESC, path LIMIT 5")
@@ -230,11 +235,10 @@ def search_fallback_recent(b: Base) -> DataFrame:
     return X.recent(X.build(b.records)[0])
 
 
-@query(S.context(S.search(S.values(FIXED))))
+@query(S.context(S.search(ASKED)))
 def context_budget(b: Base) -> DataFrame:
     """K9, W4, J17, F17, F20."""
-    q = b.spark.createDataFrame(FIXED, "qid long, question string")
-    return X.context(b.search(q), b.arts)
+    return X.context(b.search(b.asked), b.arts)
 
 
 @query("SELECT path, CASE WHEN doc_id % 10 = 0 THEN 'added' WHEN doc_id % 10 = 1 THEN 'changed' END AS change FROM arts WHERE doc_id % 10 < 2 UNION ALL SELECT 'concepts/gone.md', 'removed'")
@@ -274,7 +278,7 @@ def ingest_actions(b: Base) -> DataFrame:
 @query("SELECT path, action, reason, score, source_version FROM actions_forced")
 def ingest_forced(b: Base) -> DataFrame:
     """P25."""
-    return I.actions(b.arts, b.state, force_all=True).select("path", "action", "reason", "score", "source_version")
+    return I.actions(*I.of(b.files), b.state, force_all=True).select("path", "action", "reason", "score", "source_version")
 
 
 @query(S.SUMMARY)
@@ -351,7 +355,7 @@ def compile_pending(b: Base) -> DataFrame:
     return C.pending(b.logs, b.compile_state).select("log_name", F.lit("would_compile").alias("action"))
 
 
-@query("SELECT (SELECT count(*) FROM logs) AS files_processed, count(*) FILTER (action = 'create') AS articles_created, count(*) FILTER (action = 'update') AS articles_updated, count(*) FILTER (action = 'skip') AS articles_skipped FROM upserts")
+@query("SELECT (SELECT count(*) FROM logs) AS files_processed, count(*) FILTER (action = 'create') AS articles_created, count(*) FILTER (action = 'update') AS articles_updated, count(*) FILTER (action = 'skip') AS articles_skipped, 0::BIGINT AS errors FROM upserts")
 def compile_summary(b: Base) -> DataFrame:
     """A8."""
     return C.summary(b.logs, b.upserts)
@@ -420,6 +424,12 @@ def text_files(b: Base) -> DataFrame:
     return P.text_files(b.projects).groupBy("project").agg(F.count("*").alias("files"))
 
 
+@query(S.DOMAINS_JOINED)
+def domain_detect_joined(b: Base) -> DataFrame:
+    """With the files' texts put together, so that a word may span two of them."""
+    return P.domains(P.text_files(b.projects), joined=True)
+
+
 @query("SELECT project, domain, domain_confidence FROM domains")
 def domain_detect(b: Base) -> DataFrame:
     """A11, A17, J15, S5."""
@@ -487,20 +497,49 @@ def mode_thresholds(b: Base) -> DataFrame:
     return G.modes(b.spark).withColumn("required_frontmatter", F.array_join("required_frontmatter", ",")).drop("purpose")
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}', '{c}')" for a, b, c in RULES) + ") v(section, name, value)")
+@query(S.RULES)
 def rules(b: Base) -> DataFrame:
     """The base's description of itself."""
-    return rules_table(b.spark)
+    return R.table(b.spark)
 
 
 # ---- state and files ----
 
 
+def _folder(b: Base, name: str) -> str:
+    return f"{shared_dir(b.spark)}/quern/{b.spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
+@query(N.SOURCE_ARTICLES_SQL)
+def source_articles(b: Base) -> DataFrame:
+    """All documents as files of any legal name, some of them no text, written and read again."""
+    root = _folder(b, "kb")
+    export.write_articles(N.article_files(b.table("documents")), root)
+    return files.knowledge_base(b.spark, root).select("path", "valid", F.md5("content").alias("content_md5"))
+
+
+@query(N.SOURCE_TREE_SQL)
+def source_project_tree(b: Base) -> DataFrame:
+    """All pages as files of projects, hidden and private ones too, written and read again."""
+    root = _folder(b, "tree")
+    export.write_articles(N.tree_files(b.table("pages")), root)
+    return files.project_tree(b.spark, root).select("project", "rel_path", "name", "suffix", "length", F.md5("content").alias("content_md5"))
+
+
+@query(N.SOURCE_LOGS_SQL)
+def source_logs(b: Base) -> DataFrame:
+    """S3: all daily logs, written and read again."""
+    root = _folder(b, "logs")
+    export.write_articles(b.logs.select(F.concat(F.lit("_"), "log_name").alias("path"), "content"), root)
+    return files.logs(b.spark, root).select("log_name", "valid", F.md5("content").alias("content_md5"))
+
+
 @query(S.NEXT_STATE)
 def snapshot_roundtrip(b: Base) -> DataFrame:
     """The next snapshot written as a version, pointed to, and read again."""
-    root = f"{shared_dir(b.spark)}/quern/{b.spark.sparkContext.applicationId}/snapshot-{uuid.uuid4().hex}"
+    root = _folder(b, "snapshot")
     state.write(I.next_state(b.actions, N.RUN_TS), root)
+    state.point(b.spark, root, "v-never-written")  # what a run that died may leave
     got = state.read(b.spark, root, I.STATE)
     return got.select("path", "title", "hash", "mtime", "score", "ingested_at", "source_version", F.array_join("quality_warnings", "; ").alias("warnings"))
 
@@ -508,9 +547,9 @@ def snapshot_roundtrip(b: Base) -> DataFrame:
 @query(f"SELECT {_SCAN} FROM scanned")
 def shortlist_roundtrip(b: Base) -> DataFrame:
     """The shortlist written as JSON and read again."""
-    path = f"{shared_dir(b.spark)}/quern/{b.spark.sparkContext.applicationId}/shortlist-{uuid.uuid4().hex}"
+    path = _folder(b, "shortlist") + ".json"
     export.write_shortlist(b.scanned, path)
-    return _flat(export.read_shortlist(b.spark, path))
+    return _flat(export.read_shortlist(b.spark, path)).drop("path")
 
 
 @query("SELECT log_name FROM logs WHERE log_name = 'log-1.md'")

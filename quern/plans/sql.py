@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from quern.functions import constants as K
 from quern.plans import inputs as N
 
@@ -89,7 +91,18 @@ SUMMARY = """
 SELECT count(*) FILTER (action <> 'delete') AS scanned, count(*) FILTER (action = 'insert') AS inserted, count(*) FILTER (action = 'update') AS updated, count(*) FILTER (action = 'skip') AS skipped, count(*) FILTER (action = 'delete') AS deleted,
     0::BIGINT AS errors, count(*) FILTER (action = 'reject') AS rejected, count(*) FILTER (action IN ('insert', 'update') AND len(warnings) > 0) AS warned FROM actions"""
 
-MODES = "SELECT * FROM (VALUES " + ", ".join(f"('{m}', {v[0]}, {v[1]}, {v[2]}, '{','.join(v[3])}', {v[4]}::DOUBLE, {v[5]}::DOUBLE)" for m, v in K.MODES.items()) + ") v(mode, min_words, min_words_reject, min_frontmatter_fields, required_frontmatter, min_quality_score, reject_quality_score)"
+#: Written out by hand, not made of the engine's own tables.
+MODES = """SELECT * FROM (VALUES
+    ('developer', 50, 10, 2, 'title', 0.2::DOUBLE, 0.0::DOUBLE), ('research', 30, 5, 1, 'title', 0.1, 0.0), ('review', 100, 20, 4, 'title,type,tags', 0.4, 0.1),
+    ('ops', 30, 5, 2, 'title', 0.2, 0.0), ('personal', 10, 1, 1, 'title', 0.0, 0.0)
+) v(mode, min_words, min_words_reject, min_frontmatter_fields, required_frontmatter, min_quality_score, reject_quality_score)"""
+#: As they stood when they were last agreed on: a change of the rules has to be made here, too.
+RULES = Path(__file__).with_name("rules.sql").read_text(encoding="utf-8")
+DOMAINS_JOINED = """
+    SELECT project, domain, round(s, 2) AS domain_confidence FROM (
+        SELECT project, domain, k, count(DISTINCT word) / any_value(size) AS s
+        FROM (SELECT project, string_agg(CASE WHEN length <= 50000 THEN lower(content) ELSE '' END, ' ' ORDER BY n) AS t FROM picked GROUP BY project) JOIN keywords ON contains(t, word) GROUP BY project, domain, k)
+    QUALIFY row_number() OVER (PARTITION BY project ORDER BY s DESC, k) = 1"""
 
 CONTENTS = f"""
 SELECT slug, CASE WHEN known THEN 'known before' ELSE {strip("heading")} END AS summary, CASE WHEN known THEN 'daily/old.md' ELSE 'daily/' || log_name END AS compiled_from, '{N.RUN_DATE}' AS updated

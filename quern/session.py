@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Settings that a session made here carries; queries do not depend on the session having them.
 SETTINGS = {
@@ -62,6 +63,31 @@ def unsettle(df: DataFrame) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Rows of a narrow table that may be broadcast; beyond it a join shuffles.
+BROADCAST_ROWS = 2_000_000
+
+
+def sized(df: DataFrame) -> DataFrame:
+    """``df`` with a broadcast hint where its counted rows allow it, else as it is for a shuffled join."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
+def numbered(df: DataFrame, *order: str, name: str = "pos") -> DataFrame:
+    """``df`` with the place of each row in the order, from 1: sorted by ranges, numbered in each, and moved on by the ranges' counts.
+
+    The counts, one for each partition, are all that reaches the driver.
+    """
+    one = settle(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__id", F.monotonically_increasing_id()), "sorted")
+    part, within = F.shiftright("__id", 33), F.col("__id").bitwiseAND(F.lit((1 << 33) - 1))
+    before, rows = 0, []
+    for r in one.groupBy(part.alias("p")).count().orderBy("p").collect():
+        rows.append((r.p, before))
+        before += r["count"]
+    at = df.sparkSession.createDataFrame(rows, "p long, before long")
+    out = one.join(F.broadcast(at), part == F.col("p"))
+    return out.withColumn(name, F.col("before") + within + 1).drop("__id", "p", "before")
+
+
 def spread(df: DataFrame) -> DataFrame:
     """``df`` over at least as many partitions as there are cores.
 

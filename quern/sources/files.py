@@ -1,82 +1,164 @@
-"""File sources: articles, logs and project trees read in parallel from any Hadoop file system."""
+"""File sources: articles, logs and project trees, read in parallel from a local or mounted folder or any file system that Arrow knows.
+
+Spark's own file sources pass over names that begin with ``_`` or ``.``. Here folders are listed and files opened by the tasks
+themselves, so every legal name is read as it is, ``100%.md`` and ``a%20b.md`` too. A listing (path, length, mtime) comes first and
+costs no content; what it holds is written once, so files are read as they were listed, and only those that are asked for.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyarrow import fs as afs
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.functions import text
-from quern.functions.constants import SUBDIRS
+from quern.functions.constants import SUBDIRS, TREE_BYTES
+from quern.session import settle
 
 FILES = "path string, mtime double, content string, valid boolean"
+#: Bytes and files that one task reads, about, and bytes that it holds at once.
+TASK_BYTES, TASK_FILES, HELD_BYTES = 64 << 20, 2000, 16 << 20
+
+
+def system(root: str) -> tuple[afs.FileSystem, str]:
+    """The file system of a path or URI, and the path in it."""
+    if "://" in root and not root.startswith("file:"):
+        return afs.FileSystem.from_uri(root)
+    if root.startswith("file:"):
+        root = "/" + root.removeprefix("file:").lstrip("/")
+    return afs.LocalFileSystem(), root.rstrip("/") or "/"
+
+
+def exists(root: str) -> bool:
+    fs, path = system(root)
+    return fs.get_file_info(path).type != afs.FileType.NotFound
+
+
+def read_text(path: str) -> str | None:
+    """The text of a small file; None where there is none."""
+    if not exists(path):
+        return None
+    fs, p = system(path)
+    with fs.open_input_stream(p) as f:
+        return f.read().decode("utf-8", "replace")
+
+
+def write_text(path: str, text: str | bytes) -> None:
+    """A file, put in place at once."""
+    fs, p = system(path)
+    fs.create_dir(p.rpartition("/")[0], recursive=True)
+    with fs.open_output_stream(f"{p}.part") as f:
+        f.write(text.encode() if isinstance(text, str) else text)
+    fs.move(f"{p}.part", p)
+
+
+def _children(root: str) -> list[afs.FileInfo]:
+    fs, path = system(root)
+    return sorted(fs.get_file_info(afs.FileSelector(path, allow_not_found=True)), key=lambda i: i.path)
+
+
+_LISTED = pa.schema([("path", pa.string()), ("length", pa.int64()), ("mtime", pa.float64())])
+
+
+def _rows(infos: list[afs.FileInfo], under: str) -> Iterator[pa.RecordBatch]:
+    """Files below a folder by their path in it, and folders without any by theirs with a slash; times in whole milliseconds."""
+    cut = len(under.rstrip("/")) + 1
+    files = [i for i in infos if i.type == afs.FileType.File]
+    filled = {f.path.rpartition("/")[0] for f in files}
+    filled |= {i.path.rpartition("/")[0] for i in infos if i.type == afs.FileType.Directory}
+    empty = [i.path[cut:] + "/" for i in infos if i.type == afs.FileType.Directory and i.path not in filled]
+    for s in range(0, len(files), 10_000):
+        part = files[s : s + 10_000]
+        yield pa.RecordBatch.from_arrays([pa.array([i.path[cut:] for i in part]), pa.array([i.size for i in part], pa.int64()), pa.array([i.mtime_ns // 10**6 / 1000 for i in part])], schema=_LISTED)
+    if empty:
+        yield pa.RecordBatch.from_arrays([pa.array(empty), pa.array([0] * len(empty), pa.int64()), pa.array([None] * len(empty), pa.float64())], schema=_LISTED)
+
+
+def listing(spark: SparkSession, root: str, folders: list[str], recursive: bool = False) -> DataFrame:
+    """(path, length, mtime) of what lies in the folders of ``root``, each listed by a task; a missing folder is empty."""
+    schema = "path string, length long, mtime double"
+    if not folders:
+        return spark.createDataFrame([], schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, top = system(root)
+        for b in batches:
+            for d in b.column("d").to_pylist():
+                infos = fs.get_file_info(afs.FileSelector(f"{top}/{d}".rstrip("/"), recursive=recursive, allow_not_found=True))
+                yield from _rows(sorted(infos, key=lambda i: i.path), top)
+
+    dirs = spark.createDataFrame([(d,) for d in folders], "d string").repartition(min(len(folders), spark.sparkContext.defaultParallelism))
+    return settle(dirs.mapInArrow(run, schema), "listing")
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+def read(spark: SparkSession, root: str, listed: DataFrame, replace: bool = False) -> DataFrame:
+    """(path, mtime, content, valid) of listed files. Bytes that aren't UTF-8 are replaced, or else flagged: no text, and not valid; so is a
+    file that is gone or can't be read."""
+    listed = settle(listed.select("path", "length", "mtime"), "read")
+    n, size = listed.agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
+    parts = max(1, min(n, max(spark.sparkContext.defaultParallelism, -(-n // TASK_FILES), -(-size // TASK_BYTES))))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, top = system(root)
+        rows, held = [], 0
+        for b in batches:
+            for path, mtime in zip(b.column("path").to_pylist(), b.column("mtime").to_pylist()):
+                try:
+                    with fs.open_input_stream(f"{top}/{path}", compression=None) as f:
+                        raw = f.read()
+                    text = raw.decode("utf-8", "replace" if replace else "strict")
+                    rows.append((path, mtime, text.replace("\r\n", "\n").replace("\r", "\n"), True))
+                    held += len(raw)
+                except (OSError, UnicodeDecodeError):
+                    rows.append((path, mtime, None, False))
+                if held >= HELD_BYTES:
+                    yield _read_batch(rows)
+                    rows, held = [], 0
+        if rows:
+            yield _read_batch(rows)
 
-def _has_files(spark: SparkSession, pattern: str) -> bool:
-    p = spark._jvm.org.apache.hadoop.fs.Path(pattern)
-    found = p.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(p)
-    return found is not None and len(found) > 0
+    return listed.repartition(parts, F.xxhash64("path")).mapInArrow(run, FILES)
 
 
-def _text(raw: Column) -> tuple[Column, Column]:
-    """(valid, text): bytes that aren't UTF-8 are flagged and have no text, instead of failing the job."""
-    valid = F.is_valid_utf8(raw)
-    return valid, F.when(valid, text.newlines(raw.cast("string")))
+def _read_batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.float64(), pa.string(), pa.bool_()))], ["path", "mtime", "content", "valid"])
 
 
-def _empty(spark: SparkSession, schema: str) -> DataFrame:
-    return spark.createDataFrame([], schema)
+def articles_listing(spark: SparkSession, root: str) -> DataFrame:
+    """(path, length, mtime) of the markdown files right in the five folders; a missing base is empty."""
+    return listing(spark, root, SUBDIRS).where(F.col("path").endswith(".md"))
 
 
 def knowledge_base(spark: SparkSession, root: str) -> DataFrame:
-    """(path, mtime, content, valid) of the markdown files right in the five folders; a missing base is empty."""
-    globs = [f"{root}/{d}/*.md" for d in SUBDIRS if _has_files(spark, f"{root}/{d}/*.md")]
-    if not globs:
-        return _empty(spark, FILES)
-    raw = spark.read.format("binaryFile").load(globs)
-    valid, body = _text(F.col("content"))
-    rel = F.regexp_extract("path", r"([^/]+/[^/]+)$", 1)
-    return raw.select(F.url_decode(F.replace(rel, F.lit("+"), F.lit("%2B"))).alias("path"), F.unix_micros("modificationTime").alias("us"), body.alias("content"), valid.alias("valid")).select("path", (F.col("us") / 1e6).alias("mtime"), "content", "valid")
+    """(path, mtime, content, valid) of the same files."""
+    return read(spark, root, articles_listing(spark, root))
 
 
 def all_markdown(spark: SparkSession, root: str) -> DataFrame:
     """(path) of every markdown file under the base, at any depth."""
-    if not _exists(spark, root):
-        return _empty(spark, "path string")
-    base = spark._jvm.org.apache.hadoop.fs.Path(root)
-    base = base.getFileSystem(spark._jsc.hadoopConfiguration()).resolvePath(base).toString().rstrip("/") + "/"
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md").load(root).select("path")
-    return raw.select(F.expr(f"substring(path, instr(path, '{base.split(':', 1)[-1]}') + {len(base.split(':', 1)[-1])})").alias("path"))
+    top = _children(root)
+    here = [(i.base_name,) for i in top if i.type == afs.FileType.File]
+    deep = listing(spark, root, [i.base_name for i in top if i.type == afs.FileType.Directory], True).select("path")
+    return deep.union(spark.createDataFrame(here, "path string")).where(F.col("path").endswith(".md"))
 
 
 def logs(spark: SparkSession, root: str) -> DataFrame:
     """(log_name, content, valid) of the folder's markdown files."""
-    if not _has_files(spark, f"{root}/*.md"):
-        return _empty(spark, "log_name string, content string, valid boolean")
-    raw = spark.read.format("binaryFile").load(f"{root}/*.md")
-    valid, body = _text(F.col("content"))
-    return raw.select(F.substring_index("path", "/", -1).alias("log_name"), body.alias("content"), valid.alias("valid"))
+    found = listing(spark, root, [""]).where(F.col("path").endswith(".md")).withColumn("path", F.substring_index("path", "/", -1))
+    return read(spark, root, found).select(F.col("path").alias("log_name"), "content", "valid")
 
 
-def project_tree(spark: SparkSession, root: str) -> DataFrame:
-    """(project, rel_path, name, suffix, length, mtime, content) of every file under the folders of ``root``; bad bytes are replaced.
+def project_tree(spark: SparkSession, root: str, most_bytes: int = TREE_BYTES) -> DataFrame:
+    """(project, rel_path, name, suffix, length, mtime, content) of every file under the folders of ``root``, hidden ones too; bad bytes are replaced.
 
-    Contents of files over 50,000 bytes aren't read: nothing looks at them.
+    Contents of files over ``most_bytes`` aren't read: nothing looks at them. A folder without files is a row whose rel_path ends in a slash.
     """
-    schema = "project string, rel_path string, name string, suffix string, length long, mtime timestamp, content string"
-    if not _has_files(spark, f"{root}/*"):
-        return _empty(spark, schema)
-    base = spark._jvm.org.apache.hadoop.fs.Path(root)
-    base = base.getFileSystem(spark._jsc.hadoopConfiguration()).resolvePath(base).toString().rstrip("/") + "/"
-    tail = base.split(":", 1)[-1]
-    rd = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-    cut = F.expr(f"substring(path, instr(path, '{tail}') + {len(tail)})")
-    every = rd.load(root).select(cut.alias("p"), "length", F.col("modificationTime").alias("mtime"))
-    small = rd.load(root).where("length <= 50000").select(cut.alias("p"), F.make_valid_utf8(F.col("content").cast("string")).alias("content"))
-    f = every.join(small, "p", "left").where(F.instr("p", "/") > 0)
-    f = f.withColumn("project", F.substring_index("p", "/", 1)).withColumn("rel_path", F.expr("substring(p, length(project) + 2)")).withColumn("name", F.substring_index("p", "/", -1))
-    return f.select("project", "rel_path", "name", F.regexp_extract("name", r"[^.](\.[^.]+)$", 1).alias("suffix"), F.col("length").cast("long").alias("length"), "mtime", "content")
+    every = listing(spark, root, [i.base_name for i in _children(root) if i.type == afs.FileType.Directory], True)
+    every = every.where(F.instr("path", "/") > 0)
+    small = read(spark, root, every.where((F.col("length") <= most_bytes) & F.col("mtime").isNotNull()), True).select("path", "content")
+    f = every.join(small, "path", "left")
+    f = f.withColumn("project", F.substring_index("path", "/", 1)).withColumn("rel_path", F.expr("substring(path, length(project) + 2)")).where("rel_path <> ''")
+    f = f.withColumn("name", F.substring_index("path", "/", -1)).withColumn("mtime", F.timestamp_millis((F.col("mtime") * 1000).cast("long")))
+    return f.select("project", "rel_path", "name", F.regexp_extract("name", r"[^.](\.[^.]+)$", 1).alias("suffix"), "length", "mtime", "content")

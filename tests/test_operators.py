@@ -44,15 +44,15 @@ def test_score_counts_fifths(spark):
 
 def test_ingest_cycle(spark):
     good, bad = fm("title: a", "tags: [b]", body=LONG), fm("title: a", body="w")
-    mk = lambda rows: A.articles(spark.createDataFrame(rows, "path string, content string, mtime double"))
+    mk = lambda rows: spark.createDataFrame(rows, "path string, content string, mtime double")
     none = spark.createDataFrame([], ingest.STATE)
     one = mk([("concepts/a.md", good, 1.0), ("concepts/b.md", good, 1.0), ("concepts/c.md", bad, 1.0)])
-    acts = ingest.actions(one, none)
+    acts = ingest.actions(*ingest.of(one), none)
     assert {r.path: r.action for r in acts.collect()} == {"concepts/a.md": "insert", "concepts/b.md": "insert", "concepts/c.md": "reject"}
     snap = ingest.next_state(acts, "t1")
     assert {r.path for r in snap.collect()} == {"concepts/a.md", "concepts/b.md"}
     two = mk([("concepts/a.md", good + " more", 2.0), ("concepts/c.md", good, 2.0), ("concepts/d.md", good, 1.0)])
-    acts = ingest.actions(two, snap)
+    acts = ingest.actions(*ingest.of(two), snap)
     got = {r.path: (r.action, r.reason, r.source_version) for r in acts.collect()}
     assert got == {"concepts/a.md": ("update", None, 2), "concepts/b.md": ("delete", "file_removed", None), "concepts/c.md": ("insert", None, 1), "concepts/d.md": ("insert", None, 1)}
     s = ingest.summary(acts).first()
@@ -60,11 +60,11 @@ def test_ingest_cycle(spark):
     # the time alone skips; another time with the same text skips, too, and keeps the new time
     snap = ingest.next_state(acts, "t2")
     three = mk([("concepts/a.md", "other text", 2.0), ("concepts/c.md", good, 9.0)])
-    acts = ingest.actions(three, snap)
+    acts = ingest.actions(*ingest.of(three), snap)
     assert {(r.path, r.reason) for r in acts.where("action = 'skip'").collect()} == {("concepts/a.md", "mtime_match"), ("concepts/c.md", "same_hash")}
     kept = {r.path: (r.mtime, r.ingested_at) for r in ingest.next_state(acts, "t3").collect()}
     assert kept == {"concepts/a.md": (2.0, "t2"), "concepts/c.md": (9.0, "t2")}
-    forced = ingest.actions(three, snap, force_all=True)
+    forced = ingest.actions(*ingest.of(three), snap, force_all=True)
     assert {r.path: r.action for r in forced.where("action <> 'delete'").collect()} == {"concepts/a.md": "reject", "concepts/c.md": "update"}
     st = ingest.status(ingest.compare(three, snap)).first()
     assert (st.article_count, st.disk_count, st.stale_count, st.orphaned_count, st.synced) == (3, 2, 1, 1, False)
@@ -164,9 +164,43 @@ def test_projects(spark):
     assert projects.scan(f.limit(0), topics).count() == 0
 
 
-def test_topics_by_automaton_and_by_join_agree(spark, monkeypatch):
+def test_topics_in_one_pass_and_in_several_agree(spark):
     low = spark.createDataFrame([("p", "an llm in a shell"), ("p", "rust"), ("q", ""), ("q", None)], "project string, t string")
-    topics = spark.createDataFrame([("LLM",), ("llm",), ("hell",), ("s",), ("no",)], "topic string")
-    by_machine = {tuple(r) for r in projects.topic_hits(low, topics).collect()}
-    monkeypatch.setattr(projects, "AUTOMATON_CHARS", 0)
-    assert by_machine == {tuple(r) for r in projects.topic_hits(low, topics).collect()} == {("p", "LLM"), ("p", "llm"), ("p", "hell"), ("p", "s")}
+    topics = spark.createDataFrame([("LLM",), ("llm",), ("hell",), ("s",), ("no",), ("",)], "topic string")
+    want = {("p", "LLM"), ("p", "llm"), ("p", "hell"), ("p", "s"), ("p", ""), ("q", "")}
+    for most in (10**6, 9, 1):
+        hits = projects.topic_hits(low, topics, most)
+        assert {tuple(r) for r in hits.collect()} == want and "NestedLoop" not in hits._jdf.queryExecution().toString()
+
+
+def test_words_may_span_files_if_these_are_joined(spark):
+    texts = ["x" * 90 + " machine", "learning " + "y" * 90, "deep", "", "z", "knowledge", "base"]
+    f = spark.createDataFrame([("p", t, len(t), n + 1) for n, t in enumerate(texts)], "project string, content string, length long, n int")
+    from quern.functions.constants import DOMAINS
+
+    whole = " ".join(texts)
+    want = max((sum(w in whole for w in ws) / len(ws), -k) for k, ws in enumerate(DOMAINS.values()))
+    got = projects.domains(f, joined=True).first()
+    assert got.domain == list(DOMAINS)[-want[1]] and got.domain_confidence == round(want[0], 2)
+    assert projects.domains(f).count() == 0
+
+
+def test_ingest_reads_only_what_the_time_does_not_skip(spark):
+    files = spark.createDataFrame([(f"concepts/{k}.md", fm("title: a", body=LONG), float(k)) for k in range(6)], "path string, content string, mtime double")
+    snap = ingest.next_state(ingest.actions(*ingest.of(files), spark.createDataFrame([], ingest.STATE)), "t1").withColumn("mtime", F.when(F.col("path") == "concepts/3.md", 99.0).otherwise(F.col("mtime")))
+    listed, read = ingest.of(files)
+    asked = []
+    acts = ingest.actions(listed, lambda need: asked.append(need) or read(need), snap)
+    assert {r.path: r.action for r in acts.collect()} == {f"concepts/{k}.md": "skip" for k in range(6)}
+    assert [r.path for r in asked[0].collect()] == ["concepts/3.md"]
+
+
+def test_rows_are_numbered_without_one_partition(spark):
+    from quern.session import numbered
+
+    df = spark.range(1000).selectExpr("(id * 7919) % 1000 AS k", "id AS v").repartition(5)
+    got = numbered(df, "k")
+    assert [(r.k, r.pos) for r in got.orderBy("pos").collect()] == [(k, k + 1) for k in range(1000)] and got.columns == ["k", "v", "pos"]
+    assert numbered(df.limit(0), "k").collect() == []
+    table = spark.createDataFrame([(f"s{k}", "a", "b", "c") for k in range(20)], "slug string, summary string, compiled_from string, updated string")
+    assert "SinglePartition" not in compiling.contents_text(table)._jdf.queryExecution().toString()
