@@ -31,7 +31,7 @@ def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, start, end) of each span of 50 words or more that another document has too."""
+    """(doc_id, start, end) of each span of 50 words or more that occurs elsewhere too, in another document or in the same."""
     return suffixes.repeats(table(spark, sf_dir, "documents"))
 
 
@@ -92,7 +92,7 @@ SQL: dict[str, str] = {
         windows AS (
             SELECT doc_id, unnest(range(0, len(w) - 49)) AS s, w FROM words WHERE len(w) >= 50),
         hashed AS (SELECT doc_id, s, md5(array_to_string(w[s + 1 : s + 50], ' ')) AS h FROM windows),
-        dup AS (SELECT h FROM hashed GROUP BY h HAVING min(doc_id) < max(doc_id)),
+        dup AS (SELECT h FROM hashed GROUP BY h HAVING count(DISTINCT (doc_id, s)) > 1),
         hits AS (SELECT DISTINCT doc_id, s FROM hashed JOIN dup USING (h)),
         marked AS (SELECT *, CASE WHEN s <= lag(s) OVER (PARTITION BY doc_id ORDER BY s) + 50 THEN 0 ELSE 1 END AS fresh FROM hits),
         islands AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY s) AS island FROM marked)
