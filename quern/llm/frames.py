@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.session import settle, spread, unsettle
+from quern.session import settle, sized, spread, unsettle
 
-#: Rows of an id table that may be broadcast (16 bytes each); beyond it the join shuffles.
-BROADCAST_ROWS = 2_000_000
+__all__ = ["cols", "components", "free", "settle", "sized", "table", "without"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,12 +27,6 @@ def free(df: DataFrame, name: str) -> str:
     return name
 
 
-def sized(ids: DataFrame) -> DataFrame:
-    """``ids`` with a broadcast hint where its counted rows allow it, else as it is for a shuffled join."""
-    n = ids.limit(BROADCAST_ROWS + 1).count()
-    return F.broadcast(ids) if n <= BROADCAST_ROWS else ids
-
-
 def without(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
     """Rows of ``docs`` whose key is not among the settled ``ids``; a null key stays."""
     return docs.join(sized(ids.select(key).distinct()), key, "left_anti").select(*[f"`{c}`" for c in docs.columns])
