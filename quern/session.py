@@ -63,6 +63,12 @@ def unsettle(df: DataFrame) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def clear(spark: SparkSession) -> None:
+    """Deletes all settled tables of this application; results that read them can't be computed after."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/quern/{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 #: Rows of a narrow table that may be broadcast; beyond it a join shuffles.
 BROADCAST_ROWS = 2_000_000
 
