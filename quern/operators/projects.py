@@ -123,7 +123,7 @@ def topic_hits(low: DataFrame, kb_topics: DataFrame, most_chars: int = AUTOMATON
     chars = lowered.agg(F.coalesce(F.sum(F.length("lt") + 1), F.lit(0))).first()[0]
     passes = max(1, -(-chars // most_chars))
     if passes > 1:
-        low, lowered = settle(low.select("project", "t"), "texts"), settle(lowered, "topics")
+        low = settle(low.select("project", "t"), "texts")
     found = None
     for p in range(passes):
         words: dict[str, list[str]] = {}
@@ -151,6 +151,7 @@ def topic_hits(low: DataFrame, kb_topics: DataFrame, most_chars: int = AUTOMATON
 
 def overlaps(picked: DataFrame, kb_topics: DataFrame, most_files: int = TOPIC_FILES, most_bytes: int = TOPIC_BYTES) -> DataFrame:
     """(project, topic_overlap): the share of topics that the project's first files of not too many bytes hold."""
+    kb_topics = settle(kb_topics, "topics")  # else the articles would be parsed for each use
     n = kb_topics.agg(F.count("*").alias("n_topics"))
     low = picked.where(F.col("n") <= most_files).select("project", F.lower(read_safe(most_bytes)).alias("t"))
     held = topic_hits(low, kb_topics).groupBy("project").agg(F.count("*").alias("hits"))
@@ -193,7 +194,8 @@ def prioritised(meta: DataFrame) -> DataFrame:
 
 def scan(files: DataFrame, kb_topics: DataFrame, most: int = PROJECTS) -> DataFrame:
     """The shortlist: every project with its metadata and rank (priority, then confidence, then name)."""
-    mine = files.join(F.broadcast(projects(files, most)), "project", "left_semi")
+    # a bounded number of projects, read eight times below
+    mine = settle(files.join(F.broadcast(projects(files, most)), "project", "left_semi"), "projects")
     picked = text_files(mine)
     out = mine.select("project").distinct()
     count = picked.groupBy("project").agg(F.count("*").cast("int").alias("file_count"))
