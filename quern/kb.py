@@ -135,11 +135,11 @@ class KnowledgeBase:
     def _index(self) -> tuple[DataFrame, DataFrame, DataFrame]:
         """The stored index, built anew if any article was added, changed or removed: three tables in one version, and when it was built."""
         root, recs = f"{self.work}/index", A.records(self.articles())
-        load = lambda v: tuple(self.spark.read.parquet(f"{root}/{v}/{n}") for n in ("meta", "postings", "idf"))
+        load = lambda v: tuple(self.spark.read.parquet(f"{root}/{v}/{n}") for n in ("meta", "vectors", "idf"))
         v = state.current(self.spark, root)
-        if v is None or not index.stale(recs, load(v)[0]).isEmpty():
+        if v is None or not files.exists(f"{root}/{v}/vectors") or not index.stale(recs, load(v)[0]).isEmpty():
             v = f"v-{uuid.uuid4().hex}"
-            for n, df in zip(("meta", "postings", "idf"), index.build(recs)):
+            for n, df in zip(("meta", "vectors", "idf"), index.build(recs)):
                 df.write.parquet(f"{root}/{v}/{n}")
             files.write_text(f"{root}/{v}/built_at", self.run_ts)
             files.write_text(f"{root}/{v}/_SUCCESS", "")
