@@ -7,7 +7,11 @@ costs no content; what it holds is written once, so files are read as they were
 
 from __future__ import annotations
 
+import errno
+import os
+import stat
 from collections.abc import Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyarrow import fs as afs
@@ -17,7 +21,7 @@ from pyspark.sql import functions as F
 from quern.functions.constants import SUBDIRS, TREE_BYTES
 from quern.session import settle
 
-FILES = "path string, mtime double, content string, valid boolean"
+FILES = "path string, length long, mtime double, content string, valid boolean"
 #: Bytes and files that one task reads, about, and bytes that it holds at once.
 TASK_BYTES, TASK_FILES, HELD_BYTES = 64 << 20, 2000, 16 << 20
 
@@ -60,20 +64,52 @@ def _children(root: str) -> list[afs.FileInfo]:
 
 
 _LISTED = pa.schema([("path", pa.string()), ("length", pa.int64()), ("mtime", pa.float64())])
-
-
-def _rows(infos: list[afs.FileInfo], under: str) -> Iterator[pa.RecordBatch]:
-    """Files below a folder by their path in it, and folders without any by theirs with a slash; times in whole milliseconds."""
-    cut = len(under.rstrip("/")) + 1
-    files = [i for i in infos if i.type == afs.FileType.File]
-    filled = {f.path.rpartition("/")[0] for f in files}
-    filled |= {i.path.rpartition("/")[0] for i in infos if i.type == afs.FileType.Directory}
-    empty = [i.path[cut:] + "/" for i in infos if i.type == afs.FileType.Directory and i.path not in filled]
-    for s in range(0, len(files), 10_000):
-        part = files[s : s + 10_000]
-        yield pa.RecordBatch.from_arrays([pa.array([i.path[cut:] for i in part]), pa.array([i.size for i in part], pa.int64()), pa.array([i.mtime_ns // 10**6 / 1000 for i in part])], schema=_LISTED)
-    if empty:
-        yield pa.RecordBatch.from_arrays([pa.array(empty), pa.array([0] * len(empty), pa.int64()), pa.array([None] * len(empty), pa.float64())], schema=_LISTED)
+#: Files of a row batch of a listing.
+LISTED = 10_000
+
+
+def _local(top: str, d: str, recursive: bool) -> Iterator[tuple[str, int, float | None]]:
+    """What lies in a local folder, one by one: a folder of any size takes no more memory. Links are followed, dangling ones passed over."""
+    first = d.rstrip("/")
+    todo = [first]
+    while todo:
+        d, inner = todo.pop(), False
+        try:
+            found = os.scandir(f"{top}/{d}")
+        except FileNotFoundError:
+            continue
+        with found:
+            for e in found:
+                try:
+                    st = e.stat()
+                except OSError as x:
+                    if x.errno in (errno.ENOENT, errno.ENOTDIR, errno.ELOOP):
+                        continue
+                    raise
+                path, is_file, is_dir = f"{d}/{e.name}".lstrip("/"), stat.S_ISREG(st.st_mode), stat.S_ISDIR(st.st_mode)
+                inner |= is_file or is_dir
+                if is_file:
+                    yield path, st.st_size, st.st_mtime_ns // 10**6 / 1000
+                elif is_dir and recursive:
+                    todo.append(path)
+        if not inner and d != first:
+            yield f"{d}/", 0, None
+
+
+def _remote(fs: afs.FileSystem, top: str, d: str, recursive: bool) -> Iterator[tuple[str, int, float | None]]:
+    """The same on any other file system, whose folders come whole: one at a time."""
+    first, cut = d.rstrip("/"), len(top.rstrip("/")) + 1
+    todo = [first]
+    while todo:
+        d, inner = todo.pop(), False
+        for i in fs.get_file_info(afs.FileSelector(f"{top}/{d}".rstrip("/"), allow_not_found=True)):
+            inner |= i.type in (afs.FileType.File, afs.FileType.Directory)
+            if i.type == afs.FileType.File:
+                yield i.path[cut:], i.size, i.mtime_ns // 10**6 / 1000
+            elif i.type == afs.FileType.Directory and recursive:
+                todo.append(i.path[cut:])
+        if not inner and d != first:
+            yield f"{d}/", 0, None
 
 
 def listing(spark: SparkSession, root: str, folders: list[str], recursive: bool = False) -> DataFrame:
@@ -86,8 +122,9 @@ def listing(spark: SparkSession, root: str, folders: list[str], recursive: bool
         fs, top = system(root)
         for b in batches:
             for d in b.column("d").to_pylist():
-                infos = fs.get_file_info(afs.FileSelector(f"{top}/{d}".rstrip("/"), recursive=recursive, allow_not_found=True))
-                yield from _rows(sorted(infos, key=lambda i: i.path), top)
+                found = _local(top, d, recursive) if isinstance(fs, afs.LocalFileSystem) else _remote(fs, top, d, recursive)
+                while part := list(islice(found, LISTED)):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*part), _LISTED)], schema=_LISTED)
 
     dirs = spark.createDataFrame([(d,) for d in folders], "d string").repartition(min(len(folders), spark.sparkContext.defaultParallelism))
     return settle(dirs.mapInArrow(run, schema), "listing")
@@ -96,34 +133,46 @@ def listing(spark: SparkSession, root: str, folders: list[str], recursive: bool
 def read(spark: SparkSession, root: str, listed: DataFrame, replace: bool = False) -> DataFrame:
     """(path, mtime, content, valid) of listed files. Bytes that aren't UTF-8 are replaced, or else flagged: no text, and not valid; so is a
     file that is gone or can't be read."""
+    return _filled(spark, root, listed, replace).select("path", "mtime", "content", "valid")
+
+
+def _filled(spark: SparkSession, root: str, listed: DataFrame, replace: bool, most_bytes: int | None = None) -> DataFrame:
+    """(path, length, mtime, content, valid) of all that is listed. Folders, and files over ``most_bytes``, aren't opened where
+    that is given: they have no content, and count as valid.
+
+    Contents join no listing: Spark would take them for as small as that, and broadcast them.
+    """
     listed = settle(listed.select("path", "length", "mtime"), "read")
-    n, size = listed.agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
+    opened = F.lit(True) if most_bytes is None else F.col("mtime").isNotNull() & (F.col("length") <= most_bytes)
+    n, size = listed.agg(F.count("*"), F.coalesce(F.sum(F.when(opened, F.col("length"))), F.lit(0))).first()
     parts = max(1, min(n, max(spark.sparkContext.defaultParallelism, -(-n // TASK_FILES), -(-size // TASK_BYTES))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, top = system(root)
         rows, held = [], 0
         for b in batches:
-            for path, mtime in zip(b.column("path").to_pylist(), b.column("mtime").to_pylist()):
+            for path, length, mtime, take in zip(*(b.column(c).to_pylist() for c in ("path", "length", "mtime", "opened"))):
                 try:
-                    with fs.open_input_stream(f"{top}/{path}", compression=None) as f:
-                        raw = f.read()
-                    text = raw.decode("utf-8", "replace" if replace else "strict")
-                    rows.append((path, mtime, text.replace("\r\n", "\n").replace("\r", "\n"), True))
-                    held += len(raw)
+                    text = None
+                    if take:
+                        with fs.open_input_stream(f"{top}/{path}", compression=None) as f:
+                            raw = f.read()
+                        held += len(raw)
+                        text = raw.decode("utf-8", "replace" if replace else "strict").replace("\r\n", "\n").replace("\r", "\n")
+                    rows.append((path, length, mtime, text, True))
                 except (OSError, UnicodeDecodeError):
-                    rows.append((path, mtime, None, False))
-                if held >= HELD_BYTES:
+                    rows.append((path, length, mtime, None, False))
+                if held >= HELD_BYTES or len(rows) >= LISTED:
                     yield _read_batch(rows)
                     rows, held = [], 0
         if rows:
             yield _read_batch(rows)
 
-    return listed.repartition(parts, F.xxhash64("path")).mapInArrow(run, FILES)
+    return listed.withColumn("opened", opened).repartition(parts, F.xxhash64("path")).mapInArrow(run, FILES)
 
 
 def _read_batch(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.float64(), pa.string(), pa.bool_()))], ["path", "mtime", "content", "valid"])
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.int64(), pa.float64(), pa.string(), pa.bool_()))], ["path", "length", "mtime", "content", "valid"])
 
 
 def articles_listing(spark: SparkSession, root: str) -> DataFrame:
@@ -156,9 +205,7 @@ def project_tree(spark: SparkSession, root: str, most_bytes: int = TREE_BYTES) -
     Contents of files over ``most_bytes`` aren't read: nothing looks at them. A folder without files is a row whose rel_path ends in a slash.
     """
     every = listing(spark, root, [i.base_name for i in _children(root) if i.type == afs.FileType.Directory], True)
-    every = every.where(F.instr("path", "/") > 0)
-    small = read(spark, root, every.where((F.col("length") <= most_bytes) & F.col("mtime").isNotNull()), True).select("path", "content")
-    f = every.join(small, "path", "left")
+    f = _filled(spark, root, every.where(F.instr("path", "/") > 0), True, most_bytes)
     f = f.withColumn("project", F.substring_index("path", "/", 1)).withColumn("rel_path", F.expr("substring(path, length(project) + 2)")).where("rel_path <> ''")
     f = f.withColumn("name", F.substring_index("path", "/", -1)).withColumn("mtime", F.timestamp_millis((F.col("mtime") * 1000).cast("long")))
     return f.select("project", "rel_path", "name", F.regexp_extract("name", r"[^.](\.[^.]+)$", 1).alias("suffix"), "length", "mtime", "content")
