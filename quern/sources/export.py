@@ -24,8 +24,8 @@ def write_articles(articles: DataFrame, root: str) -> None:
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for path, content in zip(b.column("path").to_pylist(), b.column("content").to_pylist()):
-                files.write_text(f"{root}/{path}", content)
+            for path, content in zip(b.column("path"), b.column("content")):  # one object at a time beside the batch
+                files.write_text(f"{root}/{path.as_py()}", content.as_py())
             yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], ["n"])
 
     articles.select("path", "content").mapInArrow(put, "n long").agg(F.sum("n")).collect()
